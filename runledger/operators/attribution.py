@@ -18,7 +18,7 @@ from runledger import fixed_values as V
 from runledger.clock import Clock, ntz
 from runledger.functions import epoch_second
 from runledger.operators.pricing import with_price_as_of
-from runledger.operators.skew import hot_keys, key_hash, parts_of, shuffle_partitions, sketch, spread_join
+from runledger.operators.skew import key_hash, parts_of, shuffle_partitions, sketch, spread_join
 from runledger.sources.tables import Tables
 
 WINDOW_DAYS = 90
@@ -58,15 +58,18 @@ def _bucket(time: Column) -> Column:
     return F.floor(epoch_second(time) / (3600 * BUCKET_HOURS))
 
 
-def billed_usage(t: Tables, clock: Clock, days: int) -> DataFrame:
-    """Serverless usage of the attributed products, priced as of its date."""
-    usage = t.usage.filter(
+def _billed(t: Tables, clock: Clock, days: int) -> DataFrame:
+    return t.usage.filter(
         F.col("is_serverless")
         & F.col("billing_origin_product").isin(*V.ATTRIBUTED_PRODUCTS)
         & clock.on_dates(F.col("usage_date"), days)
     )
+
+
+def billed_usage(t: Tables, clock: Clock, days: int) -> DataFrame:
+    """Serverless usage of the attributed products, priced as of its date."""
     return (
-        with_price_as_of(t, clock, usage, days)
+        with_price_as_of(t, clock, _billed(t, clock, days), days)
         .withColumn("dbus", F.col("usage_quantity"))
         .withColumn("estimated_cost_usd", F.col("usage_quantity") * F.col("unit_price"))
         .select(*USAGE_COLUMNS)
@@ -84,13 +87,8 @@ class _Profile:
 
 
 def _profile(t: Tables, clock: Clock, days: int) -> _Profile:
-    """One pass over five columns; the answer is a single row of bounded size."""
-    usage = t.usage.filter(
-        F.col("is_serverless")
-        & F.col("billing_origin_product").isin(*V.ATTRIBUTED_PRODUCTS)
-        & clock.on_dates(F.col("usage_date"), days)
-    )
-    keyed = usage.withColumn("_bucket", _bucket(F.col("usage_start_time"))).select(
+    """One pass over the key columns; the answer is a single row of bounded size."""
+    keyed = _billed(t, clock, days).withColumn("_bucket", _bucket(F.col("usage_start_time"))).select(
         "usage_start_time", key_hash(BY_RUN).alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook")
     )
     row = keyed.agg(
@@ -109,6 +107,18 @@ def _profile(t: Tables, clock: Clock, days: int) -> _Profile:
     )
 
 
+def _hot_tags(t: Tables, intervals: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Hot run ids and hot notebook buckets of the tag log, from one bounded row each."""
+    keyed = t.tags.select(key_hash(BY_RUN).alias("_run"), F.lit(None).cast("bigint").alias("_notebook")).unionByName(
+        intervals.select(F.lit(None).cast("bigint").alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook"))
+    )
+    row = keyed.agg(
+        sketch("_run", "runs"), F.count("_run").alias("n"), sketch("_notebook", "notebooks"), F.count("_notebook").alias("m")
+    ).first()
+    partitions = shuffle_partitions(t.tags)
+    return parts_of(row.runs, row.n, partitions), parts_of(row.notebooks, row.m, partitions)
+
+
 def _tag_intervals(t: Tables, clock: Clock, profile: _Profile) -> DataFrame:
     """Tag records with a notebook, one row per time bucket they were running in, clipped to the usage."""
     start, end = F.col("run_start_time"), F.coalesce("run_end_time", clock.now())
@@ -130,13 +140,14 @@ def _running() -> Column:
 
 def _matched(t: Tables, usage: DataFrame, intervals: DataFrame, profile: _Profile) -> DataFrame:
     columns = [*USAGE_COLUMNS, *TAG_COLUMNS]
+    hot_runs, hot_notebooks = _hot_tags(t, intervals)
     by_run = spread_join(
         usage,
         t.tags.select(*BY_RUN, *TAG_COLUMNS),
         BY_RUN,
         "inner",
         hot_left=profile.hot_runs,
-        hot_right=hot_keys(t.tags, BY_RUN),
+        hot_right=hot_runs,
     )
     # A pair that shares the run id is already there; a NULL id on either side shares nothing.
     other_run = ~F.coalesce(F.col("job_run_id") == F.col("_tag_run"), F.lit(False))
@@ -147,7 +158,8 @@ def _matched(t: Tables, usage: DataFrame, intervals: DataFrame, profile: _Profil
         "inner",
         _running() & other_run,
         hot_left=profile.hot_notebooks,
-        hot_right=hot_keys(intervals, BY_NOTEBOOK),
+        hot_right=hot_notebooks,
+        multiplies=True,
     )
     return by_run.select(*columns).unionByName(by_notebook.select(*columns))
 

@@ -24,9 +24,13 @@ def running_total(instants: DataFrame, value: str, alias: str) -> DataFrame:
     """
     upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = instants.withColumn("_second", epoch_second(F.col("t")))
+    # Keys that cannot be NULL get no extra null filters, so all steps read one and the same shuffle.
+    never_null = lambda key: F.coalesce(key, F.lit(0).cast("bigint"))
+    placed = instants.withColumn("_second", never_null(epoch_second(F.col("t"))))
     seconds = (
-        placed.groupBy("_second").agg(F.sum(value).alias("_v")).withColumn("_hour", F.floor(F.col("_second") / 3600))
+        placed.groupBy("_second")
+        .agg(F.sum(value).alias("_v"))
+        .withColumn("_hour", never_null(F.floor(F.col("_second") / 3600)))
     )
     hours = (
         seconds.groupBy("_hour")
@@ -131,7 +135,12 @@ def _newest_overlap_starts(runs: DataFrame, limit: int) -> DataFrame:
             )
         ).alias("m")
     ).select("m.*")
-    instants = marks.groupBy("t").agg(*(F.sum(c).alias(c) for c in ("n_start", "n_end", "n_point")))
+    # Always true, but it names every count, so all steps of the running total read the same aggregate.
+    instants = (
+        marks.groupBy("t")
+        .agg(*(F.sum(c).alias(c) for c in ("n_start", "n_end", "n_point")))
+        .filter("n_start + n_end + n_point > 0")
+    )
     counted = running_total(instants.withColumn("_net", F.col("n_start") - F.col("n_end")), "_net", "_after")
     earlier = F.col("_after") - F.col("n_start")
     pairs = F.col("n_start") * (F.col("n_start") - 1) / 2 + (F.col("n_start") + F.col("n_point")) * earlier

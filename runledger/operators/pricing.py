@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as V
@@ -39,25 +39,35 @@ def _daily_prices(t: Tables, clock: Clock, days: int) -> DataFrame:
     )
 
 
-def _newest(daily: DataFrame, keys: list[str], alias: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("price_start_time"), "cloud", "unit_price")
+def _price_by_day(t: Tables, clock: Clock, days: int) -> DataFrame:
+    """Per SKU and day the price of each cloud and the one to use elsewhere (newest, then first cloud).
+
+    A group holds one entry per cloud.
+    """
+    # The newest price of a cloud; the lower one if two began together.
+    newest = F.max(F.struct("price_start_time", (-F.col("unit_price")).alias("minus"), "unit_price")).alias("p")
+    per_cloud = _daily_prices(t, clock, days).filter("cloud IS NOT NULL").groupBy("sku_name", "usage_date", "cloud").agg(newest)
+    entries = F.collect_list(F.struct("cloud", F.col("p.price_start_time").alias("since"), F.col("p.unit_price").alias("unit_price")))
+    latest = F.array_max(F.transform("e", lambda x: x["since"]))
     return (
-        daily.withColumn("_rn", F.row_number().over(order))
-        .filter("_rn = 1")
-        .select(*keys, F.col("unit_price").alias(alias))
+        per_cloud.groupBy("sku_name", "usage_date")
+        .agg(entries.alias("e"))
+        .select(
+            "sku_name",
+            "usage_date",
+            F.map_from_entries(F.transform("e", lambda x: F.struct(x["cloud"], x["unit_price"]))).alias("_own"),
+            F.array_min(F.filter("e", lambda x: x["since"] == latest))["unit_price"].alias("_any"),
+        )
     )
 
 
 def with_price_as_of(t: Tables, clock: Clock, usage: DataFrame, days: int) -> DataFrame:
     """Adds ``unit_price`` valid on ``usage_date``: same cloud first, then any cloud, then the flat rate.
 
-    ``days`` must cover the dates in ``usage``; the lookup tables have one row per SKU, cloud and day.
+    ``days`` must cover the dates in ``usage``; the lookup table has one row per SKU and day.
     """
-    daily = _daily_prices(t, clock, days)
-    fits = t.prices_fit(copies=days + 1)
-    priced = look_up(usage, _newest(daily, ["sku_name", "cloud", "usage_date"], "_own"), ["sku_name", "cloud", "usage_date"], fits)
-    priced = look_up(priced, _newest(daily, ["sku_name", "usage_date"], "_any"), ["sku_name", "usage_date"], fits)
-    return priced.withColumn("unit_price", F.coalesce("_own", "_any", flat_price())).drop("_own", "_any")
+    priced = look_up(usage, _price_by_day(t, clock, days), ["sku_name", "usage_date"], t.prices_fit(copies=days + 1))
+    return priced.withColumn("unit_price", F.coalesce(F.col("_own")[F.col("cloud")], "_any", flat_price())).drop("_own", "_any")
 
 
 def price_usage(t: Tables, clock: Clock, mode: str = "current", days: int = 90) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as V
@@ -128,55 +128,62 @@ def tags_fill_defaults(t: Tables, fields: list[str] | None = None) -> DataFrame:
     return t.tags.withColumns(filled)
 
 
-def _text_list(values: Column) -> Column:
-    return F.concat(F.lit("['"), F.concat_ws("', '", values), F.lit("']"))
+def _rules(t: Tables, fields: list[str]) -> list[Row]:
+    """Active policies about ``fields``: a setting of at most one row per field, read by the driver."""
+    rows = (
+        t.policies.filter(F.col("is_active") & F.col("tag_key").isin(*fields))
+        .select("tag_key", "is_required", "allowed_values", "validation_regex")
+        .limit(len(fields) + 1)
+        .collect()
+    )
+    if len({row.tag_key for row in rows}) < len(rows):
+        raise ValueError("tag policies: more than one active row for a tag")
+    return rows
+
+
+def _violations(rules: list[Row]) -> Column:
+    """Array of the broken rules of a record, each with tag, value, rule and message."""
+    found = []
+    for policy in rules:
+        value = F.col(policy.tag_key)
+        empty = F.coalesce(value, F.lit("")) == ""
+        quoted = F.concat(F.lit(f"Tag '{policy.tag_key}' value '"), value)
+
+        def broken(rule, condition, message):
+            return F.when(
+                condition,
+                F.struct(F.lit(policy.tag_key).alias("tag_key"), value.alias("value"), F.lit(rule).alias("rule"), message.alias("message")),
+            )
+
+        if policy.is_required:
+            found.append(broken("missing", empty, F.lit(f"Required tag '{policy.tag_key}' is missing")))
+        if policy.allowed_values:
+            shown = "', '".join(policy.allowed_values)
+            allowed = value.isin(*policy.allowed_values)
+            found.append(broken("not_allowed", ~empty & ~allowed, F.concat(quoted, F.lit(f"' not in allowed values: ['{shown}']"))))
+        if policy.validation_regex:
+            matches = value.rlike(f"^(?:{policy.validation_regex})")
+            found.append(broken("pattern", ~empty & ~matches, F.concat(quoted, F.lit(f"' doesn't match pattern: {policy.validation_regex}"))))
+    if not found:
+        return F.array().cast("array<struct<tag_key:string,value:string,rule:string,message:string>>")
+    return F.array_compact(F.array(*found))
 
 
 def tags_validate(t: Tables, key: str = "correlation_id", fields: list[str] | None = None) -> DataFrame:
     """One row per violated rule of an active policy: missing, not_allowed or pattern.
 
     A missing required value breaks that rule only; any other value may break both of the others.
+    Patterns are anchored at the start of the value.
     """
-    fields = TAG_FIELDS if fields is None else fields
-    tag = F.explode(F.array(*(F.struct(F.lit(name).alias("tag_key"), F.col(name).alias("value")) for name in fields)))
-    values = t.tags.select(F.col(key), tag.alias("tag")).select(key, "tag.*")
-    policies = t.policies.filter("is_active").select("tag_key", "is_required", "allowed_values", "validation_regex")
-    # Policies are about the columns of the log, so no more than those can join.
-    rules = F.broadcast(policies.filter(F.col("tag_key").isin(*fields)))
-    value, allowed, pattern = F.col("value"), F.col("allowed_values"), F.col("validation_regex")
-    empty = F.coalesce(value, F.lit("")) == ""
-    quoted = F.concat(F.lit("Tag '"), "tag_key", F.lit("' value '"), value)
-    broken = lambda rule, condition, message: F.when(
-        condition, F.struct(F.lit(rule).alias("rule"), message.alias("message"))
-    )
-    violations = F.array_compact(
-        F.array(
-            broken("missing", empty & F.col("is_required"), F.concat(F.lit("Required tag '"), "tag_key", F.lit("' is missing"))),
-            broken(
-                "not_allowed",
-                ~empty & (F.size(allowed) > 0) & ~F.array_contains(allowed, value),
-                F.concat(quoted, F.lit("' not in allowed values: "), _text_list(allowed)),
-            ),
-            broken(
-                "pattern",
-                ~empty & (pattern != "") & ~F.rlike(value, F.concat(F.lit("^(?:"), pattern, F.lit(")"))),
-                F.concat(quoted, F.lit("' doesn't match pattern: "), pattern),
-            ),
-        )
-    )
-    return values.join(rules, "tag_key").select(key, "tag_key", "value", F.explode(violations).alias("v")).select(
-        key, "tag_key", "value", "v.rule", "v.message"
-    )
+    rules = _rules(t, TAG_FIELDS if fields is None else fields)
+    return t.tags.select(key, F.explode(_violations(rules)).alias("v")).select(key, "v.*")
 
 
 def tags_validity(t: Tables, key: str = "correlation_id", fields: list[str] | None = None) -> DataFrame:
     """Per tag record whether it satisfies every policy, and the number of broken rules."""
-    broken = tags_validate(t, key, fields).groupBy(key).agg(F.count("*").alias("n"))
+    rules = _rules(t, TAG_FIELDS if fields is None else fields)
     return (
         t.tags.groupBy(key)
-        .agg(F.lit(0).cast("bigint").alias("n"))
-        .unionByName(broken)
-        .groupBy(key)
-        .agg(F.sum("n").alias("errors"))
+        .agg(F.sum(F.size(_violations(rules))).alias("errors"))
         .withColumn("is_valid", F.col("errors") == 0)
     )

@@ -24,13 +24,14 @@ def _derive(spark: SparkSession, sql: str, sf_dir: str, *names: str, frames: dic
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
+    derive = lambda sql, *names: lambda: _derive(spark, sql, sf_dir, *names)
     return Tables(
-        runs=_derive(spark, fixture_sql.RUNS, sf_dir, "events"),
-        jobs=_derive(spark, fixture_sql.JOBS, sf_dir, "customer"),
-        usage=_derive(spark, fixture_sql.USAGE, sf_dir, "lineitem"),
-        list_prices=_derive(spark, fixture_sql.LIST_PRICES, sf_dir),
-        tags=_derive(spark, fixture_sql.TAGS, sf_dir, "orders", "customer"),
-        policies=seed_policies(spark),
+        runs=derive(fixture_sql.RUNS, "events"),
+        jobs=derive(fixture_sql.JOBS, "customer"),
+        usage=derive(fixture_sql.USAGE, "lineitem"),
+        list_prices=derive(fixture_sql.LIST_PRICES),
+        tags=derive(fixture_sql.TAGS, "orders", "customer"),
+        policies=lambda: seed_policies(spark),
     )
 
 

@@ -59,26 +59,35 @@ FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
       FROM lineitem) l
 """
 
-LIST_PRICES = """
-SELECT s.sku_name, c.cloud,
-       CAST(0.10 + 0.05 * s.i + 0.01 * c.k + 0.02 * v.v AS DECIMAL(10,4)) AS unit_price,
-       CASE v.v WHEN 0 THEN CAST('2020-01-01 00:00:00' AS {ts}) ELSE CAST('2023-12-15 00:00:00' AS {ts}) END AS price_start_time,
-       CASE v.v WHEN 0 THEN CAST('2023-12-15 00:00:00' AS {ts}) END AS price_end_time
-FROM (VALUES (0, 'SERVERLESS_SQL_COMPUTE'),
-             (1, 'JOBS_SERVERLESS_COMPUTE'),
-             (2, 'ALL_PURPOSE_SERVERLESS_COMPUTE'),
-             (3, 'DATABASE_SERVERLESS_COMPUTE'),
-             (4, 'SERVERLESS_REAL_TIME_INFERENCE'),
-             (5, 'MODEL_SERVING'),
-             (6, 'SQL_PRO_COMPUTE'),
-             (7, 'SQL_COMPUTE'),
-             (8, 'DLT_CORE_COMPUTE'),
-             (9, 'ALL_PURPOSE_COMPUTE'),
-             (10, 'JOBS_COMPUTE'),
-             (11, 'OLTP_COMPUTE'),
-             (12, 'STORAGE_UNITS')) AS s(i, sku_name)
-CROSS JOIN (VALUES (0, 'AWS'), (1, 'AZURE'), (2, 'GCP')) AS c(k, cloud)
-CROSS JOIN (VALUES (0), (1)) AS v(v)
+SKUS = (
+    "SERVERLESS_SQL_COMPUTE",
+    "JOBS_SERVERLESS_COMPUTE",
+    "ALL_PURPOSE_SERVERLESS_COMPUTE",
+    "DATABASE_SERVERLESS_COMPUTE",
+    "SERVERLESS_REAL_TIME_INFERENCE",
+    "MODEL_SERVING",
+    "SQL_PRO_COMPUTE",
+    "SQL_COMPUTE",
+    "DLT_CORE_COMPUTE",
+    "ALL_PURPOSE_COMPUTE",
+    "JOBS_COMPUTE",
+    "OLTP_COMPUTE",
+    "STORAGE_UNITS",
+)
+CLOUDS = ("AWS", "AZURE", "GCP")
+PRICE_CHANGE = "2023-12-15 00:00:00"
+_PRICE_ROWS = ",\n  ".join(
+    f"('{sku}', '{cloud}', {(10 + 5 * i + k + 2 * new) / 100:.2f}, "
+    + (f"'{PRICE_CHANGE}', NULL)" if new else f"'2020-01-01 00:00:00', '{PRICE_CHANGE}')")
+    for i, sku in enumerate(SKUS)
+    for k, cloud in enumerate(CLOUDS)
+    for new in (0, 1)
+)
+LIST_PRICES = f"""
+SELECT sku_name, cloud, CAST(price AS DECIMAL(10,4)) AS unit_price,
+       CAST(valid_from AS {{ts}}) AS price_start_time, CAST(valid_to AS {{ts}}) AS price_end_time
+FROM (VALUES
+  {_PRICE_ROWS}) AS p(sku_name, cloud, price, valid_from, valid_to)
 """
 
 TAGS = """

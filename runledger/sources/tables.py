@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,28 +15,49 @@ from runledger import schemas
 # Largest dimension that is sent to every executor: rows of a few short columns, tens of MB.
 BROADCAST_ROWS = 200_000
 
+Source = DataFrame | Callable[[], DataFrame] | None
+
 
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether a table has no more than ``rows`` rows; reads at most one row beyond that."""
     return df.limit(rows + 1).count() <= rows
 
 
-@dataclass(frozen=True)
 class Tables:
-    """Lazy handles on the six inputs. ``broadcast_rows`` bounds what may be broadcast."""
+    """The six inputs: ``runs``, ``jobs``, ``usage``, ``list_prices``, ``tags`` and ``policies``.
+
+    Each is a DataFrame, a function that opens one when it is first needed, or None where there is no
+    such table. ``broadcast_rows`` bounds what may be broadcast.
+    """
+
+    NAMES = ("runs", "jobs", "usage", "list_prices", "tags", "policies")
+
+    def __init__(self, *, broadcast_rows: int = BROADCAST_ROWS, **given: Source) -> None:
+        unknown = set(given) - set(self.NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self.broadcast_rows = broadcast_rows
+        self._given = {name: given.get(name) for name in self.NAMES}
+
+    def _open(self, name: str) -> DataFrame | None:
+        source = self._given[name]
+        if callable(source):
+            source = self._given[name] = source()
+        return source
+
+    runs = property(lambda self: self._open("runs"))
+    jobs = property(lambda self: self._open("jobs"))
+    usage = property(lambda self: self._open("usage"))
+    list_prices = property(lambda self: self._open("list_prices"))
+    tags = property(lambda self: self._open("tags"))
+    policies = property(lambda self: self._open("policies"))
 
-    runs: DataFrame | None = None
-    jobs: DataFrame | None = None
-    usage: DataFrame | None = None
-    list_prices: DataFrame | None = None
-    tags: DataFrame | None = None
-    policies: DataFrame | None = None
-    broadcast_rows: int = BROADCAST_ROWS
+    def replace(self, **changed: Source) -> "Tables":
+        return Tables(broadcast_rows=self.broadcast_rows, **{**self._given, **changed})
 
     @property
     def spark(self) -> SparkSession:
-        given = (self.runs, self.jobs, self.usage, self.list_prices, self.tags, self.policies)
-        return next(df for df in given if df is not None).sparkSession
+        return next(self._open(name) for name in self.NAMES if self._given[name] is not None).sparkSession
 
     @cached_property
     def jobs_fit(self) -> bool:
@@ -59,7 +79,7 @@ class Tables:
         return self
 
     def with_latest_definitions(self, order_by: str = "delete_time") -> "Tables":
-        return replace(self, jobs=latest_definition(self.jobs, ["job_id", "workspace_id"], order_by))
+        return self.replace(jobs=latest_definition(self.jobs, ["job_id", "workspace_id"], order_by))
 
 
 def require_unique(df: DataFrame, keys: list[str], what: str) -> None:

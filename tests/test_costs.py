@@ -180,7 +180,7 @@ def test_attribution_equals_brute_force(spark, seed, hot, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         t = tables(spark, usage=used, tags=tags)
-        t = type(t)(**{**t.__dict__, "usage": t.usage.repartition(6), "tags": t.tags.repartition(5)})
+        t = t.replace(usage=t.usage.repartition(6), tags=t.tags.repartition(5))
         want = brute_attribution(used, tags)
         assert attributed(t) == want
         unmatched = Counter((r.job_run_id, r.notebook_path, r.usage_start_time, None) for r in unmatched_rows(t, CLOCK).collect())
