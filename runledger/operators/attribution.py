@@ -19,6 +19,7 @@ from runledger.clock import Clock, ntz
 from runledger.functions import epoch_second
 from runledger.operators.pricing import with_price_as_of
 from runledger.operators.skew import key_hash, parts_of, shuffle_partitions, sketch, spread_join
+from runledger.operators.sweep import running_total
 from runledger.sources.tables import Tables
 
 WINDOW_DAYS = 90
@@ -191,3 +192,64 @@ def unmatched_rows(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFram
     """Only the usage rows without a tag record; the matching pairs are never built."""
     profile = _profile(t, clock, days)
     return _unmatched(t, billed_usage(t, clock, days), _tag_intervals(t, clock, profile), profile)
+
+
+def _weighted(n: Column, cost: Column, times: Column) -> list[Column]:
+    """Rows and cost of groups that each occur ``times`` times, added up exactly."""
+    product = cost.cast("decimal(27,10)") * times.cast("decimal(10,0)")
+    return [F.sum(n * times).alias("n"), F.sum(product).alias("c")]
+
+
+def _live_weights(usage: DataFrame, tags: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and cost of the pairs of a usage row and a record that share ``keys`` and was running, one row.
+
+    Counts of starts and ends up to an instant give the number of running records, so no pair is built.
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    used = usage.filter(known & F.col("usage_start_time").isNotNull()).groupBy(*keys, F.col("usage_start_time").alias("t"))
+    marks = used.agg(F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c"))
+    for mark in ("start", "end"):
+        counted = tags.filter(known).groupBy(*keys, F.col(f"_tag_{mark}").alias("t")).agg(F.count("*").alias(f"n_{mark}"))
+        marks = marks.unionByName(counted, allowMissingColumns=True)
+    none = F.lit(0).cast("bigint")
+    instants = (
+        marks.groupBy(*keys, "t")
+        .agg(
+            *(F.coalesce(F.sum(name), none).alias(name) for name in ("n", "n_start", "n_end")),
+            F.coalesce(F.sum("c").cast("decimal(27,10)"), F.lit(0).cast("decimal(27,10)")).alias("c"),
+        )
+        .withColumn("_net", F.col("n_start") - F.col("n_end"))
+    )
+    # A record is running at its end as well.
+    running = F.col("_after") + F.col("n_end")
+    return running_total(instants, "_net", "_after", keys).filter("n > 0").agg(*_weighted(F.col("n"), F.col("c"), running))
+
+
+def attribution_totals(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFrame:
+    """Rows ``n`` and cost ``c`` of attributed usage per ``correlation_status``, without building the rows.
+
+    Pairs by run id are counted from both sides grouped by run, pairs by notebook from a sweep over time;
+    pairs that both rules find are counted once more and taken off.
+    """
+    profile = _profile(t, clock, days)
+    usage = billed_usage(t, clock, days)
+    start, end = F.col("run_start_time"), F.coalesce("run_end_time", clock.now())
+    first, last = ntz(profile.first), ntz(profile.last)
+    ran = t.tags.filter((start <= last) & (end >= first) & (end >= start)).select(
+        *BY_RUN, "notebook_path", F.greatest(start, first).alias("_tag_start"), end.alias("_tag_end")
+    )
+    runs = usage.groupBy(*BY_RUN).agg(F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c"))
+    records = t.tags.groupBy(*BY_RUN).agg(F.count("*").alias("m"))
+    by_run = runs.join(records, BY_RUN).agg(*_weighted(F.col("n"), F.col("c"), F.col("m")))
+    by_notebook = _live_weights(usage, ran, ["notebook_path"])
+    by_both = _live_weights(usage, ran, ["job_run_id", "notebook_path"]).select((-F.col("n")).alias("n"), (-F.col("c")).alias("c"))
+    matched = by_run.unionByName(by_notebook).unionByName(by_both).agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    rest = _unmatched(t, usage, _tag_intervals(t, clock, profile), profile).agg(
+        F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c")
+    )
+    both = matched.withColumn("correlation_status", F.lit(V.MATCHED)).unionByName(
+        rest.withColumn("correlation_status", F.lit(V.UNMATCHED))
+    )
+    return both.filter("n > 0").select("correlation_status", "n", "c")

@@ -1,9 +1,6 @@
 """Runs as time intervals: how many are live at an instant, and which of them overlap.
 
-Both questions are answered from signed counts per instant instead of comparing runs with runs. Running
-totals are taken in three steps (instants within a second, seconds within an hour, hours), so that every
-window group has a size fixed by the clock and not by the data: at most a million distinct microseconds
-per second, 3600 seconds per hour, and the hours of the window.
+Both questions are answered from signed counts per instant instead of comparing runs with runs.
 """
 
 from __future__ import annotations
@@ -12,43 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.clock import Clock, check_range
-from runledger.functions import as_id, epoch_second
+from runledger.functions import as_id
 from runledger.operators.jobs import with_job_name
+from runledger.operators.sweep import running_total
 from runledger.sources.tables import Tables
 
 
-def running_total(instants: DataFrame, value: str, alias: str) -> DataFrame:
-    """Adds the sum of ``value`` over all earlier and equal instants.
-
-    ``instants`` has one row per distinct ``t`` (zone-free timestamp); ``value`` must not be NULL.
-    """
-    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    # Keys that cannot be NULL get no extra null filters, so all steps read one and the same shuffle.
-    never_null = lambda key: F.coalesce(key, F.lit(0).cast("bigint"))
-    placed = instants.withColumn("_second", never_null(epoch_second(F.col("t"))))
-    seconds = (
-        placed.groupBy("_second")
-        .agg(F.sum(value).alias("_v"))
-        .withColumn("_hour", never_null(F.floor(F.col("_second") / 3600)))
-    )
-    hours = (
-        seconds.groupBy("_hour")
-        .agg(F.sum("_v").alias("_v"))
-        .select("_hour", F.coalesce(F.sum("_v").over(before("_hour")), F.lit(0)).alias("_before_hour"))
-    )
-    starts = seconds.join(hours, "_hour").select(
-        "_second",
-        (F.col("_before_hour") + F.coalesce(F.sum("_v").over(before("_hour", "_second")), F.lit(0))).alias("_before_second"),
-    )
-    return (
-        placed.withColumn("_within", F.sum(value).over(upto("_second", "t")))
-        .join(starts, "_second")
-        .withColumn(alias, F.col("_before_second") + F.col("_within"))
-        .drop("_second", "_within", "_before_second")
-    )
-
-
 def jobs_concurrency(t: Tables, clock: Clock, hours: int = 24) -> DataFrame:
     """Runs in progress at every instant of the window at which a run starts or ends, both ends included.
 

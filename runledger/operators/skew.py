@@ -85,7 +85,7 @@ def spread_join(
     ``how`` is inner, left or left_anti. Hot keys of the left side are looked up when not given; those of
     the right side only matter to an inner join, the others need no repeated keys there. Rows with a NULL
     key, which an outer or anti join keeps, are spread as well. ``multiplies`` says that the result is much
-    larger than the inputs: the left side is then partitioned in full, as partitions merged by their input
+    larger than the inputs: both sides are then partitioned in full, as partitions merged by their input
     size would be too few for the output. The key columns of the right side are dropped; other column
     names must differ.
     """
@@ -104,8 +104,9 @@ def spread_join(
         renamed = _spread(renamed, r_on, hot, "rights", "lefts", False).withColumnsRenamed({"lefts": "_r_i", "rights": "_r_j"})
         equal += [F.col("_l_i") == F.col("_r_i"), F.col("_l_j") == F.col("_r_j")]
     if multiplies:
-        parts = [name for name in ("_l_i", "_l_j") if name in left.columns]
-        left = left.repartition(shuffle_partitions(left), *on, *parts)
+        n = shuffle_partitions(left)
+        left = left.repartition(n, *on, *(name for name in ("_l_i", "_l_j") if name in left.columns))
+        renamed = renamed.repartition(n, *(f"_r_{name}" for name in on), *(name for name in ("_r_i", "_r_j") if name in renamed.columns))
     if condition is not None:
         equal.append(condition)
     helpers = ["_l_i", "_l_j", "_r_i", "_r_j", *(f"_r_{name}" for name in on)]

@@ -14,7 +14,7 @@ from runledger import fixed_values as V
 from runledger.clock import Clock, check_range
 from runledger.functions import pct, usd
 from runledger.operators import costs
-from runledger.operators.attribution import TAG_COLUMNS, WINDOW_DAYS, attribute_usage, unmatched_rows
+from runledger.operators.attribution import TAG_COLUMNS, WINDOW_DAYS, attribute_usage, attribution_totals, unmatched_rows
 from runledger.plans.views import summarize, weekly_trends
 from runledger.sources.tables import Tables
 
@@ -51,25 +51,33 @@ def costs_trends(t: Tables, clock: Clock, weeks: int = 8, attributed: DataFrame
     return costs.roll_up_weeks(weekly_trends(rows), clock, weeks)
 
 
-def _status_totals(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys, "correlation_status").agg(F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c"))
+def _status_totals(t: Tables, clock: Clock, days: int, attributed: DataFrame | None) -> DataFrame:
+    """Rows and cost per match status; counted without building the rows where none are given."""
+    if attributed is None:
+        return attribution_totals(t, clock, days)
+    rows = _attributed(t, clock, days, attributed)
+    return rows.groupBy("correlation_status").agg(F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c"))
+
+
+def _of(status: str, value: str):
+    return F.sum(F.when(F.col("correlation_status") == status, F.col(value)))
 
 
 def correlation_breakdown(t: Tables, clock: Clock, days: int = 7, attributed: DataFrame | None = None) -> DataFrame:
     """Rows and cost per match status."""
     check_range("days", days, 1, 90)
-    totals = _status_totals(_attributed(t, clock, days, attributed))
+    totals = _status_totals(t, clock, days, attributed)
     return totals.select(F.col("correlation_status").alias("status"), F.col("n").alias("count"), usd(F.col("c")).alias("cost"))
 
 
 def correlation_rate(t: Tables, clock: Clock, days: int = 7, attributed: DataFrame | None = None) -> DataFrame:
     """Share of attributed rows, one row."""
     check_range("days", days, 1, 90)
-    status = F.col("correlation_status")
-    counts = _attributed(t, clock, days, attributed).agg(
-        F.count("*").alias("total_records"),
-        F.count_if(status == V.MATCHED).alias("matched"),
-        F.count_if(status == V.UNMATCHED).alias("unmatched"),
+    none = F.lit(0).cast("bigint")
+    counts = _status_totals(t, clock, days, attributed).agg(
+        F.coalesce(F.sum("n"), none).alias("total_records"),
+        F.coalesce(_of(V.MATCHED, "n"), none).alias("matched"),
+        F.coalesce(_of(V.UNMATCHED, "n"), none).alias("unmatched"),
     )
     return counts.withColumn("correlation_rate_pct", pct(F.col("matched"), F.col("total_records")))
 
@@ -77,10 +85,7 @@ def correlation_rate(t: Tables, clock: Clock, days: int = 7, attributed: DataFra
 def costs_untagged_pct(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     """Percentage of attributed cost that no tag record explains, one row."""
     check_range("days", days, 1, 90)
-    cost = F.col("estimated_cost_usd")
-    sums = _attributed(t, clock, days, attributed).agg(
-        F.sum(cost).alias("all"), F.sum(F.when(F.col("correlation_status") == V.UNMATCHED, cost)).alias("open")
-    )
+    sums = _status_totals(t, clock, days, attributed).agg(F.sum("c").alias("all"), _of(V.UNMATCHED, "c").alias("open"))
     whole, part = F.col("all").cast("double"), F.coalesce(F.col("open").cast("double"), F.lit(0.0))
     return sums.select(
         usd(F.col("all")).alias("total_cost"),

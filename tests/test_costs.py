@@ -9,7 +9,7 @@ from data import CLOCK, NOW, frame, job, price, tables, tag, usage
 from runledger import schemas
 from runledger.functions import sku_category, sku_short_label
 from runledger.operators import costs, pricing
-from runledger.operators.attribution import attribute_usage, unmatched_rows
+from runledger.operators.attribution import attribute_usage, attribution_totals, unmatched_rows
 from runledger.plans import reports, views
 from runledger.sources.tables import flatten_prices, flatten_usage, read_tables
 from pyspark.sql import functions as F
@@ -185,6 +185,13 @@ def test_attribution_equals_brute_force(spark, seed, hot, partitions):
         assert attributed(t) == want
         unmatched = Counter((r.job_run_id, r.notebook_path, r.usage_start_time, None) for r in unmatched_rows(t, CLOCK).collect())
         assert unmatched == Counter({k: n for k, n in want.items() if k[3] is None})
+        # Every test row costs 0.15.
+        matched = sum(n for k, n in want.items() if k[3] is not None)
+        alone = sum(unmatched.values())
+        assert {r.correlation_status: (r.n, float(r.c)) for r in attribution_totals(t, CLOCK).collect()} == {
+            "MATCHED": (matched, pytest.approx(0.15 * matched)),
+            "UNMATCHED": (alone, pytest.approx(0.15 * alone)),
+        }
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
