@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(shared))
+        .config("spark.default.parallelism", "4")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
