@@ -36,21 +36,20 @@ def _valued(t: Tables, usage: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def _top_with_runs(top: DataFrame, usage: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``runs``, the distinct runs of each reported key (``top`` is a short list)."""
-    wanted = F.broadcast(top.select(*keys))
-    runs = (
-        usage.join(wanted, _same_key(usage, wanted, keys), "left_semi")
-        .groupBy(*keys)
+    """Adds ``runs``, the distinct runs of each reported key.
+
+    ``top`` is a short list whose keys all occur in ``usage``; its columns travel with the runs, so it is
+    computed once.
+    """
+    renamed = top.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return (
+        usage.select(*keys, "job_run_id")
+        .join(F.broadcast(renamed), same)
+        .groupBy(*keys, *(c for c in top.columns if c not in keys))
         .agg(F.countDistinct("job_run_id").alias("runs"))
     )
-    return top.join(F.broadcast(runs), _same_key(top, runs, keys), "left").select(
-        *(top[c] for c in top.columns), F.coalesce(runs["runs"], F.lit(0)).alias("runs")
-    )
 
 
 def costs_summary(t: Tables, clock: Clock, days: int = 30) -> DataFrame:

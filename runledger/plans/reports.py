@@ -20,11 +20,12 @@ from runledger.sources.tables import Tables
 
 
 def materialize(t: Tables, clock: Clock, path: str, days: int = WINDOW_DAYS) -> DataFrame:
-    """Write attributed usage once, partitioned by date, and return the stored table."""
+    """Write attributed usage once, partitioned by date, and return the stored table.
+
+    The rebalancing splits a busy date into files of the advised size and merges small ones.
+    """
     attributed = attribute_usage(t, clock, days)
-    attributed.repartition("usage_date", F.pmod(F.xxhash64("job_run_id", "correlation_id"), F.lit(16))).write.mode(
-        "overwrite"
-    ).partitionBy("usage_date").parquet(path)
+    attributed.hint("rebalance", F.col("usage_date")).write.mode("overwrite").partitionBy("usage_date").parquet(path)
     return t.spark.read.schema(attributed.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import pytest
 from data import CLOCK, at, job, run, tables
 from runledger.clock import Clock
 from runledger.operators import intervals, jobs
+from runledger.sources.tables import read_tables
 
 
 def rows(df):
@@ -162,3 +163,21 @@ def test_results_do_not_depend_on_the_session_zone(spark):
         assert results[0] == results[1] == brute_concurrency(made, clock.as_of, 24)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_time_window_and_columns_reach_the_scan(spark, tmp_path):
+    tables(spark, runs=[run(1, "30 10:00", "30 11:00")]).runs.write.parquet(f"{tmp_path}/runs")
+    t = read_tables(spark, {"runs": f"{tmp_path}/runs"})
+    plan = jobs.jobs_summary(t, CLOCK)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(period_start_time,2024-01-24T00:00)" in plan
+    assert "ReadSchema: struct<period_start_time:timestamp_ntz,result_state:string>" in plan
+    assert rows(jobs.jobs_summary(t, CLOCK)) == [(1, 1, 0, 0, 100.0)]
+
+
+def test_concurrency_reads_its_input_once(spark, tmp_path):
+    tables(spark, runs=random_runs(5, 50, 60)).runs.write.parquet(f"{tmp_path}/runs")
+    t = read_tables(spark, {"runs": f"{tmp_path}/runs"})
+    df = intervals.jobs_concurrency(t, CLOCK)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "NestedLoop" not in final
