@@ -43,6 +43,12 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (exact(end) - exact(start)).cast("double")
 
 
+def as_event_time(time: Column) -> Column:
+    """The instant at which UTC clocks show a zone-free timestamp, for operators that need a zoned one."""
+    micros = (F.date_part(F.lit("SECOND"), time) * 1_000_000).cast("bigint")
+    return F.timestamp_micros((epoch_second(time) - F.second(time)) * 1_000_000 + micros)
+
+
 def usd(amount: Column, places: int = 2) -> Column:
     """A decimal amount rounded while still exact, then handed out as a double (0 for none)."""
     return F.coalesce(F.round(amount, places).cast("double"), F.lit(0.0))

@@ -196,6 +196,13 @@ def test_attribution_equals_brute_force(spark, seed, hot, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_attribution_of_nothing(spark):
+    t = tables(spark)
+    assert attribute_usage(t, CLOCK).count() == 0 and attribution_totals(t, CLOCK).count() == 0
+    assert rows(reports.correlation_rate(t, CLOCK)) == [(0, 0, 0, 0.0)]
+    assert rows(reports.costs_untagged_pct(t, CLOCK)) == [(0.0, 0.0, 0.0)]
+
+
 def test_previous_week_is_the_previous_active_week(spark):
     used = [usage(d, qty=q, run_id="1") for d, q in (("2024-01-02", 10), ("2024-01-17", 15))]
     t = tables(spark, usage=used, tags=[tag(1, "1", project_code="P", department="D")])
