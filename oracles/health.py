@@ -14,7 +14,7 @@ SELECT job_id, AVG(execution_duration_seconds) AS usual FROM runs WHERE {days(30
 _LATE = f"""
 SELECT CAST(r.job_id AS BIGINT) AS job_id, r.job_name, CAST(r.run_id AS BIGINT) AS run_id, r.period_start_time AS start_time,
        CAST(date_diff('second', r.period_start_time, {NOW}) AS DOUBLE) AS duration_seconds,
-       ROUND(COALESCE(u.usual, 0), 2) AS avg_duration_seconds,
+       COALESCE(u.usual, 0) AS avg_duration_seconds,
        CASE WHEN date_diff('second', r.period_start_time, {NOW}) > COALESCE(u.usual, 0) * 2.0 THEN 'critical' ELSE 'warning' END AS status
 FROM named_runs r LEFT JOIN usual u ON u.job_id = r.job_id
 WHERE COALESCE(r.result_state, 'RUNNING') = 'RUNNING'

@@ -95,7 +95,7 @@ def health_prolonged(t: Tables, clock: Clock, warning: float = 1.5, critical: fl
         as_id(F.col("run_id")).alias("run_id"),
         F.col("period_start_time").alias("start_time"),
         F.col("age").cast("double").alias("duration_seconds"),
-        F.round(average, 2).alias("avg_duration_seconds"),
+        average.alias("avg_duration_seconds"),
         F.when(F.col("age") > average * F.lit(float(critical)), "critical").otherwise("warning").alias("status"),
     ).orderBy(F.desc("duration_seconds"), "run_id")
 
