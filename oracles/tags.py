@@ -1,6 +1,6 @@
 """Oracles of the tag log queries."""
 
-from oracles.base import NOW, dates, days, query
+from oracles.base import dates, days, query
 
 _POLICIES = """
 SELECT * FROM (VALUES

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger import fixed_values as V
 from runledger.clock import Clock, check_range, ntz
 from runledger.functions import as_id, epoch_second, is_bad, is_open, is_succeeded, pct
 from runledger.operators.jobs import JOB_KEY, recent_runs, with_job_name

@@ -26,10 +26,6 @@ def recent_runs(t: Tables, clock: Clock, days: int) -> DataFrame:
     return t.runs.filter(clock.since_days(F.col("period_start_time"), days))
 
 
-def _count_if(condition):
-    return F.count_if(condition)
-
-
 def _newest_first():
     return F.desc("start_time"), F.asc("run_id")
 
@@ -67,9 +63,9 @@ def jobs_summary(t: Tables, clock: Clock, days: int = 7) -> DataFrame:
     state = F.col("result_state")
     counts = recent_runs(t, clock, days).agg(
         F.count("*").alias("total_runs"),
-        _count_if(is_succeeded(state)).alias("succeeded"),
-        _count_if(is_bad(state)).alias("failed"),
-        _count_if(is_open(state)).alias("running"),
+        F.count_if(is_succeeded(state)).alias("succeeded"),
+        F.count_if(is_bad(state)).alias("failed"),
+        F.count_if(is_open(state)).alias("running"),
     )
     return counts.withColumn("success_rate", pct(F.col("succeeded"), F.col("total_runs")))
 
@@ -83,8 +79,8 @@ def jobs_daily(t: Tables, clock: Clock, days: int = 30) -> DataFrame:
         .groupBy(F.to_date("period_start_time").alias("date"))
         .agg(
             F.count("*").alias("total"),
-            _count_if(is_succeeded(state)).alias("succeeded"),
-            _count_if(is_bad(state)).alias("failed"),
+            F.count_if(is_succeeded(state)).alias("succeeded"),
+            F.count_if(is_bad(state)).alias("failed"),
         )
         .orderBy("date")
     )

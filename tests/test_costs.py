@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from data import CLOCK, NOW, frame, job, price, tables, tag, usage
+from data import CLOCK, NOW, job, price, tables, tag, usage
 from runledger import schemas
 from runledger.functions import sku_category, sku_short_label
 from runledger.operators import costs, pricing

@@ -1,13 +1,12 @@
-import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from data import CLOCK, NOW, at, frame, tables, tag
+from data import CLOCK, at, frame, tables, tag
 from runledger import schemas
 from runledger.operators import tags
 from runledger.sinks.policies import tag_policy_seed, write_policies
-from runledger.sinks.tag_log import normalise_starts, tag_log_close, tag_log_ingest, write_tag_table
+from runledger.sinks.tag_log import normalise_starts, tag_log_close, tag_log_ingest
 from runledger.sources.tables import Tables, seed_policies
 from runledger.streaming.tag_log_stream import read_ends, read_starts, start_tag_log, tag_log_stream
 
