@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, exact_dedup, packing
+from runledger.llm import bpe, exact_dedup, packing, quality, secret_scan, toxicity
 from runledger.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +39,36 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans_text(spans: Column) -> Column:
+    kind = F.array(*map(F.lit, secret_scan.KINDS))
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", kind[s.kind], s.start.cast("string"), s.end.cast("string"))))
+
+
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [F.size(F.filter(spans, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)]
+    base = F.filter(spans, lambda s: s.kind < 3)
+    return secret_scan.secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(_spans_text(base), 256).alias("base_sha256"), _spans_text(spans).alias("spans")
+    )
+
+
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": _secrets,
+        "op2_toxicity": _toxic,
         "op3_best_fit_packing": _packed,
+        "op4_quality_classifier": _quality,
         "op7_exact_dedup": _exact,
         "op9_bpe": _encoded,
     }
