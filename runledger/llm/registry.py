@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, exact_dedup, packing, quality, secret_scan, toxicity
+from runledger.llm import bpe, exact_dedup, jaccard_join, packing, quality, secret_scan, toxicity
 from runledger.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": _secrets,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_classifier": _quality,
         "op7_exact_dedup": _exact,
         "op9_bpe": _encoded,
+        "op10_jaccard_join": _similar,
     }
 
 
