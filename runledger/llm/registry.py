@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, exact_dedup, jaccard_join, packing, quality, secret_scan, toxicity
+from runledger.llm import bpe, chat_format, embedding_dedup, exact_dedup, jaccard_join, packing, quality, secret_scan, toxicity
 from runledger.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,12 +67,26 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def _formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
+    return chat_format.conversation_digests(chat_format.format_conversations(turns))
+
+
+def _near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": _secrets,
         "op2_toxicity": _toxic,
         "op3_best_fit_packing": _packed,
         "op4_quality_classifier": _quality,
+        "op5_chat_format": _formatted,
+        "op6_embedding_dedup": _near_vectors,
         "op7_exact_dedup": _exact,
         "op9_bpe": _encoded,
         "op10_jaccard_join": _similar,
