@@ -9,7 +9,7 @@ import pyarrow as pa
 CHARACTERS = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHARACTERS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = CHARACTERS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts add up to about ``most`` bytes, or one longer text."""
     import pyarrow.compute as pc
 
@@ -24,6 +24,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHARACTERS)
         yield batch.slice(start)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts_of(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     """Texts as Python strings, NULL as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

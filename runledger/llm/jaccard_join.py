@@ -1,21 +1,20 @@
 """Exact Jaccard join over word shingles with a token-group matrix.
 
-Documents with equal shingle sets form one class, and only classes are compared. Similar classes are put into groups;
-the matrix holds each group's token union. For a query class the tokens that it shares with a group's union
-bound its similarity to every member, and only groups that can reach the threshold are opened.
+Documents with equal texts are compared once. Similar texts are put into groups; the matrix holds each group's token
+union. For a query the tokens that it shares with a group's union bound its similarity to every member, and only
+groups that can reach the threshold are opened.
 
 Tokens are hashes of shingles. Groups and bounds work on the tokens with small hashes (a fixed share of all tokens, or as
 many as the prefix filter needs), which keeps the matrix narrow; a bound that holds for some of the tokens holds for all.
 Opening a group reads whole texts and compares whole sets, so the result is exact.
 
-A query only meets groups with which it shares a token of its prefix, the tokens that are rarest over all documents.
-Classes that are found similar to the head of their group are joined first. After that only groups of other components
-matter, so thousands of near copies of one text are not compared with one another.
+A query only meets groups with which it shares a token of its prefix, the tokens that are rarest over all texts. Texts
+that are found similar to the head of their group are joined first. After that only groups of other components matter, so
+thousands of near copies of one text are not compared with one another.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from math import log
 
@@ -30,14 +29,19 @@ from runledger.llm.storage import stored
 from runledger.llm.textbytes import Texts, mix, span_hashes, word_spans
 
 SHINGLE, PERCENT = 3, 90
-# Tokens below this 63-bit hash, a sixth of all, are always in the matrix.
-LOW = 2**63 // 6
-# Classes in a group, and queries that meet a copy of an opened group, on average.
+# The share of all tokens that are always in the matrix, those with small hashes, as a multiple of the prefix's share.
+LOW_SHARE = 1.5
+# Texts in a group, and queries that meet a copy of an opened group, on average.
 GROUP, QUERIES = 64, 256
 # The frequent tokens that are ranked last: at most SLICES * PER_SLICE.
 SLICES, PER_SLICE, TRACKED = 64, 64, 512
 _FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
-_SETS = "doc_id long, text_key long, n long, digest binary, tokens array<long>"
+_SETS = "id long, doc_id long, n long, tokens array<long>"
+
+
+def low_limit(percent: int) -> int:
+    """Tokens below this 63-bit hash are low."""
+    return int(2**63 * min(1.0, LOW_SHARE * (100 - percent) / 100))
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,35 +79,34 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (n * percent + 99) // 100 + 1
 
 
-def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row the size and digest of its set, and its tokens for the matrix in ascending order."""
+    """A row per different text (``id`` is its hash): smallest doc_id, set size, tokens for the matrix in ascending order."""
+    limit = low_limit(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for batch in batches for part in slices(batch)):
             tokens, bounds = shingle_sets(texts_of(part), size)
             n = np.diff(bounds)
-            low = np.add.reduceat(np.append(tokens < LOW, False).astype(np.int64), bounds[:-1]) * (n > 0)
+            low = np.add.reduceat(np.append(tokens < limit, False).astype(np.int64), bounds[:-1]) * (n > 0)
             take = np.where(n > 0, np.maximum(low, prefix_length(n, percent)), 0)
             ends = np.cumsum(take)
             at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - (ends - take), take)
-            digests = [_digest(tokens[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-            columns = [part.column("doc_id"), part.column("text_key"), pa.array(n), pa.array(digests, pa.binary())]
-            columns.append(pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(tokens[at])))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "digest", "tokens"])
+            held = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(tokens[at]))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc_id"), pa.array(n), held], names=["id", "doc_id", "n", "tokens"])
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(run, _SETS)
+    rows = docs.select(F.xxhash64(_text()).alias("id"), F.col("doc_id").cast("long"), _text().alias("text"))
+    first = [F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("tokens").alias("tokens")]
+    return rows.mapInArrow(run, _SETS).groupBy("id").agg(*first)
 
 
-def _prefixes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n): of each class's prefix the tokens that another class has too.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n): of each text's prefix the tokens that another text has too.
 
-    Order of tokens: those below LOW by their number of classes, then the others by hash. Very frequent tokens
+    Order of tokens: low ones by their number of texts, then the others by hash. Very frequent tokens
     come from a bounded summary and are not shuffled; what matters is only that the order is one for all.
     """
     tokens = sets.select(F.explode("tokens").alias("token"))
@@ -112,19 +115,19 @@ def _prefixes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .agg(F.expr(f"approx_top_k(token, {PER_SLICE}, {TRACKED})").alias("top"), F.count("*").alias("n"))
         .select("n", F.inline("top"))
         .filter(f"count > 256 AND count * {PER_SLICE ** 2} >= n")
-        .select(F.col("item").alias("token"), F.col("count").alias("classes")),
+        .select(F.col("item").alias("token"), F.col("count").alias("texts")),
         "frequent",
     )
-    rows = classes.select("id", F.explode("tokens").alias("token"))
+    rows = sets.select("id", F.explode("tokens").alias("token"))
     marked = rows.join(F.broadcast(frequent), "token", "left")
-    counted = marked.filter("classes IS NULL").withColumn("classes", F.count("*").over(Window.partitionBy("token")))
-    shared = counted.filter("classes > 1").unionByName(marked.filter("classes IS NOT NULL"))
-    order = Window.partitionBy("id").orderBy(F.when(F.col("token") >= LOW, F.col("token")).otherwise(0), "classes", "token")
+    counted = marked.filter("texts IS NULL").withColumn("texts", F.count("*").over(Window.partitionBy("token")))
+    shared = counted.filter("texts > 1").unionByName(marked.filter("texts IS NOT NULL"))
+    order = Window.partitionBy("id").orderBy(F.when(F.col("token") >= low_limit(percent), F.col("token")).otherwise(0), "texts", "token")
     ranked = shared.select("id", "token", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("id")).alias("shared"))
-    sizes = classes.select("id", "n", F.size("tokens").alias("held"))
+    sizes = sets.select("id", "n", F.size("tokens").alias("held"))
     n = F.col("n")
     prefix = n - F.floor((n * percent + 99) / 100) + 1
-    # Tokens of this class alone come first.
+    # Tokens of this text alone come first.
     return ranked.join(sizes, "id").filter(F.col("place") <= prefix - (F.col("held") - F.col("shared"))).select("token", "id", "n")
 
 
@@ -137,7 +140,7 @@ def _open(size: int, percent: int):
     """Compares queries with the members of their group, from rows sorted by group, part and members first."""
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        tokens, bounds = shingle_sets([r[5] for r in rows], size)
+        tokens, bounds = shingle_sets([r[4] for r in rows], size)
         sets = [tokens[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         links = []
         start = 0
@@ -145,7 +148,7 @@ def _open(size: int, percent: int):
             end = start
             while end < len(rows) and rows[end][:2] == rows[start][:2]:
                 end += 1
-            own = [i for i in range(start, end) if _digest(sets[i]) == rows[i][4]]
+            own = range(start, end)
             members = {rows[i][3]: sets[i] for i in own if not rows[i][2]}
             union = np.unique(np.concatenate(list(members.values()))) if members else np.zeros(0, np.int64)
             for i in own:
@@ -169,12 +172,12 @@ def _open(size: int, percent: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "member"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "is_query", "id", "digest", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "is_query", "id", "text")), strict=True):
                 if total > 2_000_000 and held[-1][:2] != row[:2]:
                     yield done(compare(held))
                     held, total = [], 0
                 held.append(row)
-                total += len(row[5])
+                total += len(row[4])
         yield done(compare(held))
 
     return run
@@ -185,17 +188,15 @@ def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, size: int,
     n_queries = queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     copies = members.join(n_queries, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "id")
     parted = queries.join(n_queries, "group").select("group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_query"), "id")
-    rows = copies.unionByName(parted).join(texts, "id").select("group", "part", "is_query", "id", "digest", "text")
+    rows = copies.unionByName(parted).join(texts, "id").select("group", "part", "is_query", "id", "text")
     return rows.repartition("group", "part").sortWithinPartitions("group", "part", "is_query").mapInArrow(_open(size, percent), "id long, member long")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, digest and text of the wanted classes, each read from the one row that stands for it."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.xxhash64(text).alias("id"), F.col("doc_id").cast("long").alias("doc")).alias("key"), text.alias("text"))
-    keys = classes.join(wanted, "id", "left_semi").select(F.struct("id", F.col("head_doc").alias("doc")).alias("key"), "digest")
-    found = rows.join(keys, "key").select("key.id", "digest", "text")
-    return stored(found.dropDuplicates(["id"]), "texts")
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and text of the wanted texts, each read from the document that stands for it."""
+    rows = docs.select(F.struct(F.xxhash64(_text()).alias("id"), F.col("doc_id").cast("long").alias("doc")).alias("key"), _text().alias("text"))
+    keys = sets.join(wanted, "id", "left_semi").select(F.struct("id", F.col("first_doc").alias("doc")).alias("key"))
+    return stored(rows.join(keys, "key").select("key.id", "text").dropDuplicates(["id"]), "texts")
 
 
 def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -207,16 +208,10 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     while its component has another one. Other columns are ignored; an empty table gives an empty result.
     """
     sets = stored(_sets(docs, size, percent), "sets")
-    full = sets.filter("n > 0")
-    classes = stored(
-        full.groupBy("digest").agg(F.min("text_key").alias("id"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n")), "classes"
-    )
-    once = full.groupBy(F.col("text_key").alias("id")).agg(F.min("doc_id").alias("head_doc"), F.first("digest").alias("digest"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    distinct = stored(once.join(classes.select("id"), "id", "left_semi"), "matrix")
-    prefixes = stored(_prefixes(distinct, full, percent), "prefixes")
-    texts = _texts(docs, distinct, prefixes.select("id").distinct())
+    prefixes = stored(_prefixes(sets.filter("n > 0"), percent), "prefixes")
+    texts = _texts(docs, sets, prefixes.select("id").distinct())
 
-    # Groups: each class goes to the class with which it shares most prefix tokens, of those that come first for a token.
+    # Groups: each text goes to the one with which it shares most prefix tokens, of those that come first for a token.
     banded = prefixes.withColumn("band", _band(F.col("n"), percent))
     first = banded.groupBy("token", "band").agg(F.min("id").alias("group"))
     near = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band")))).join(first, ["token", "band"]).filter("id != group")
@@ -225,7 +220,7 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     members = best.select("group", F.col("group").alias("id")).distinct()
     close = stored(_links(members, best, texts, size, percent), "links")
 
-    # What is still open lies between components: a class of the smaller one asks the other's groups.
+    # What is still open lies between components: a text of the smaller one asks the other's groups.
     known = connected_components(close)
     own = prefixes.join(known, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
     sized = known.groupBy("component").agg(F.count("*").alias("weight"))
@@ -241,14 +236,14 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     # The bound: of a query's low tokens no more may be missing from the group's union than of all its tokens.
     group_of = own.select("group", "id").distinct()
     group_of = stored(group_of.join(met.select("group").distinct(), "group", "left_semi"), "members")
-    low = F.filter("tokens", lambda t: t < LOW)
+    low = F.filter("tokens", lambda t: t < low_limit(percent))
     unions = (
-        distinct.select("id", F.explode(low).alias("token")).join(group_of, "id").groupBy("group").agg(F.collect_set("token").alias("union"))
+        sets.select("id", F.explode(low).alias("token")).join(group_of, "id").groupBy("group").agg(F.collect_set("token").alias("union"))
     )
     missing = F.size(F.array_except("low", "union"))
     may_miss = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
     open_ = (
-        met.join(distinct.select("id", low.alias("low")), "id").join(unions, "group", "left")
+        met.join(sets.select("id", low.alias("low")), "id").join(unions, "group", "left")
         .filter(F.coalesce(missing, F.size("low")) <= may_miss).select("group", "id")
     )
     open_ = stored(open_, "queries")
@@ -256,12 +251,13 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     far = _links(opened, open_, texts, size, percent)
 
     linked = connected_components(close.unionByName(far))
-    with_component = classes.join(linked, F.col("id") == F.col("node"), "left").select("digest", "first_doc", F.coalesce("component", "id").alias("component"))
-    smallest = with_component.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = with_component.join(smallest, "component").select("digest", F.col("component_id"))
-    joined = full.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest").drop("digest")
-    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone)
+    of_text = sets.select("id", "first_doc", F.col("n").alias("n_shingles")).join(linked, F.col("id") == F.col("node"), "left")
+    of_text = of_text.withColumn("component", F.coalesce("component", "id"))
+    smallest = of_text.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    named = of_text.join(smallest, "component").select("id", "n_shingles", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(_text()).alias("id")).join(named, "id")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

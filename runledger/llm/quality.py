@@ -166,6 +166,12 @@ def training_rows(rows: DataFrame, labels: DataFrame, label: str, most: int) ->
     return joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def _fitted(rows: DataFrame, labels: DataFrame, sample: int) -> Trees:
+    learned = training_rows(rows, labels, "quality", sample).select("x", "y").toPandas()
+    x = np.stack(learned.x.to_list()) if len(learned) else np.zeros((0, len(STATISTICS)))
+    return fit(x, learned.y.to_numpy(float))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out and score (probability of ``labels.quality`` = 1) for every row of ``docs``.
 
@@ -174,9 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     of several labels of a document the largest counts. Other columns are ignored.
     """
     rows = stored(with_statistics(docs), "statistics")
-    learned = training_rows(rows, labels, "quality", sample).select("x", "y").toPandas()
-    x = np.stack(learned.x.to_list()) if len(learned) else np.zeros((0, len(STATISTICS)))
-    trees = fit(x, learned.y.to_numpy(float))
+    trees = _fitted(rows, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,3 +189,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score")
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all columns; trees are fitted as in ``quality_scores``.
+
+    Statistics are taken again where the rows are read, which spares a shuffle of the texts.
+    """
+    trees = _fitted(stored(with_statistics(docs), "statistics"), labels, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch, at)):
+            good = trees.score(statistics([x or "" for x in part.column(at).to_pylist()])) >= least
+            yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -218,7 +218,6 @@ def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = "<secr
     Rows and columns stay as they are; NULL texts stay NULL. Thresholds come from all rows of ``docs``.
     """
     limits = _limits(_tested(docs), false_share)
-
     at = docs.columns.index("text")
 
     def cut(text: str) -> str:
@@ -234,7 +233,7 @@ def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = "<secr
         return "".join([*out, text[end:]]) if out else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (part for batch in batches for part in slices(batch)):
+        for part in (part for batch in batches for part in slices(batch, at)):
             texts = [None if t is None else cut(t) for t in part.column(at).to_pylist()]
             yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
