@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, chat_format, embedding_dedup, exact_dedup, jaccard_join, packing, quality, secret_scan, toxicity
+from runledger.llm import bpe, chat_format, embedding_dedup, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, toxicity
 from runledger.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,13 @@ def _near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deleted = F.col("deleted")
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", F.size(deleted).cast("long").alias("n_deleted"), F.array_join(deleted.cast("array<string>"), ",").alias("deleted")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": _secrets,
@@ -88,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op5_chat_format": _formatted,
         "op6_embedding_dedup": _near_vectors,
         "op7_exact_dedup": _exact,
+        "op8_line_dedup": _repeated_lines,
         "op9_bpe": _encoded,
         "op10_jaccard_join": _similar,
     }

@@ -45,3 +45,25 @@ def similar(rows, percent: int = 90):
                     links.append((a, b))
     of = components(sets, links)
     return {d: (len(s), of[d]) for d, s in sets.items()}
+
+
+def repeated_lines(rows, least_words: int = 8):
+    """[(doc_id, deleted lines)] in the order of ``rows``, which are in the order of places."""
+    lines = [(t or "").split("\n") for _, t in rows]
+    flat = [(i, j) for i, of in enumerate(lines) for j in range(len(of))]
+    at = {}
+    for place in flat:
+        at.setdefault(lines[place[0]][place[1]], []).append(place)
+    gone = [set() for _ in rows]
+    for i, j in flat:
+        best = 0
+        for a, b in at[lines[i][j]]:
+            if (a, b) >= (i, j):
+                break
+            n = 0
+            while j + n < len(lines[i]) and b + n < len(lines[a]) and lines[i][j + n] == lines[a][b + n]:
+                n += 1
+            best = max(best, n)
+        if sum(len(x.split()) for x in lines[i][j : j + best]) >= least_words:
+            gone[i].update(range(j, j + best))
+    return [(d, sorted(g)) for (d, _), g in zip(rows, gone, strict=True)]
