@@ -6,6 +6,8 @@ groups that can reach the threshold are opened.
 
 Tokens are hashes of shingles. Groups and bounds work on the tokens with small hashes (a fixed share of all tokens, or as
 many as the prefix filter needs), which keeps the matrix narrow; a bound that holds for some of the tokens holds for all.
+The most frequent tokens, a bounded list counted over all documents, come last in every order, so passages that many
+documents share do not bring these together.
 Opening a group reads whole texts and compares whole sets, so the result is exact.
 
 A query only meets groups with which it shares a token of its prefix, the tokens that are rarest over all texts. Texts
@@ -33,10 +35,10 @@ SHINGLE, PERCENT = 3, 90
 LOW_SHARE = 1.5
 # Texts in a group, and queries that meet a copy of an opened group, on average.
 GROUP, QUERIES = 64, 256
-# The frequent tokens that are ranked last: at most SLICES * PER_SLICE.
-SLICES, PER_SLICE, TRACKED = 64, 64, 512
+# Frequent tokens: how many are listed at most, how many a task reports, and from how many texts on.
+FREQUENT, REPORTED, OFTEN = 32_768, 16_384, 64
 _FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
-_SETS = "id long, doc_id long, n long, tokens array<long>"
+_SETS = "id long, doc_id long, n long, cold long, tokens array<long>"
 
 
 def low_limit(percent: int) -> int:
@@ -83,46 +85,75 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _frequent(docs: DataFrame, size: int) -> np.ndarray:
+    """The most frequent tokens in ascending order, at most FREQUENT.
+
+    Every task counts the tokens of all its texts in a summary that keeps the most frequent ones; a token that is missed
+    costs time and no result, as any order of tokens does that is one for all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part in (part for batch in batches for part in slices(batch)):
+            tokens, _ = shingle_sets(texts_of(part), size)
+            found, n = np.unique(tokens, return_counts=True)
+            known = np.concatenate([kept, found[n > 1]])
+            total = np.concatenate([counts, n[n > 1]])
+            kept, at = np.unique(known, return_inverse=True)
+            counts = np.bincount(at, total, len(kept)).astype(np.int64)
+            if len(kept) > REPORTED:
+                most = np.sort(np.argpartition(counts, -REPORTED)[-REPORTED:])
+                kept, counts = kept[most], counts[most]
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(counts)], names=["token", "n"])
+
+    counted = docs.select(_text().alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()
+    return np.sort(rows.token.to_numpy(np.int64))
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per different text (``id`` is its hash): smallest doc_id, set size, tokens for the matrix in ascending order."""
-    limit = low_limit(percent)
+    """A row per different text (``id`` is its hash): smallest doc_id, set size, tokens for the matrix.
+
+    First ``cold`` tokens that are not frequent, in ascending order: all low ones, or more where the prefix needs them. After
+    them come frequent tokens, where a text has too few others.
+    """
+    limit, frequent = low_limit(percent), _frequent(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for batch in batches for part in slices(batch)):
             tokens, bounds = shingle_sets(texts_of(part), size)
             n = np.diff(bounds)
-            low = np.add.reduceat(np.append(tokens < limit, False).astype(np.int64), bounds[:-1]) * (n > 0)
-            take = np.where(n > 0, np.maximum(low, prefix_length(n, percent)), 0)
-            ends = np.cumsum(take)
-            at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - (ends - take), take)
-            held = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(tokens[at]))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc_id"), pa.array(n), held], names=["id", "doc_id", "n", "tokens"])
+            doc = np.repeat(np.arange(len(n)), n)
+            hot = np.zeros(len(tokens), bool)
+            if len(frequent):
+                hot = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+            cold = np.bincount(doc[~hot], minlength=len(n))
+            low = np.bincount(doc[~hot & (tokens < limit)], minlength=len(n))
+            prefix = np.where(n > 0, prefix_length(n, percent), 0)
+            held_cold, held_hot = np.minimum(np.maximum(low, prefix), cold), np.maximum(prefix - cold, 0)
+            # Cold tokens of each text before its frequent ones.
+            order = np.lexsort((tokens, hot, doc))
+            tokens = tokens[order]
+            place = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
+            keep = (place < held_cold[doc]) | ((place >= cold[doc]) & (place < (cold + held_hot)[doc]))
+            ends = np.append(0, np.cumsum(held_cold + held_hot)).astype(np.int32)
+            columns = [part.column("id"), part.column("doc_id"), pa.array(n), pa.array(held_cold), pa.ListArray.from_arrays(ends, pa.array(tokens[keep]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "n", "cold", "tokens"])
 
     rows = docs.select(F.xxhash64(_text()).alias("id"), F.col("doc_id").cast("long"), _text().alias("text"))
-    first = [F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("tokens").alias("tokens")]
+    first = [F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("n", "cold", "tokens"))]
     return rows.mapInArrow(run, _SETS).groupBy("id").agg(*first)
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(token, id, n): of each text's prefix the tokens that another text has too.
 
-    Order of tokens: low ones by their number of texts, then the others by hash. Very frequent tokens
-    come from a bounded summary and are not shuffled; what matters is only that the order is one for all.
+    Order of tokens: low ones by their number of texts, the others by hash, frequent ones last.
     """
-    tokens = sets.select(F.explode("tokens").alias("token"))
-    frequent = stored(
-        tokens.groupBy(F.pmod("token", F.lit(SLICES)).alias("slice"))
-        .agg(F.expr(f"approx_top_k(token, {PER_SLICE}, {TRACKED})").alias("top"), F.count("*").alias("n"))
-        .select("n", F.inline("top"))
-        .filter(f"count > 256 AND count * {PER_SLICE ** 2} >= n")
-        .select(F.col("item").alias("token"), F.col("count").alias("texts")),
-        "frequent",
-    )
-    rows = sets.select("id", F.explode("tokens").alias("token"))
-    marked = rows.join(F.broadcast(frequent), "token", "left")
-    counted = marked.filter("texts IS NULL").withColumn("texts", F.count("*").over(Window.partitionBy("token")))
-    shared = counted.filter("texts > 1").unionByName(marked.filter("texts IS NOT NULL"))
-    order = Window.partitionBy("id").orderBy(F.when(F.col("token") >= low_limit(percent), F.col("token")).otherwise(0), "texts", "token")
+    tier = F.when(F.col("at") >= F.col("cold"), 2).when(F.col("token") >= low_limit(percent), 1).otherwise(0)
+    rows = sets.select("id", "cold", F.posexplode("tokens").alias("at", "token")).select("id", "token", tier.cast("byte").alias("tier"))
+    shared = rows.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).filter("texts > 1")
+    order = Window.partitionBy("id").orderBy("tier", F.when(F.col("tier") == 0, F.col("texts")), "token")
     ranked = shared.select("id", "token", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("id")).alias("shared"))
     sizes = sets.select("id", "n", F.size("tokens").alias("held"))
     n = F.col("n")
@@ -233,10 +264,10 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     met = asking.drop("group").join(asked, ["token", "band"]).filter(smaller).select("id", "n", "group").distinct()
     met = stored(met, "met")
 
-    # The bound: of a query's low tokens no more may be missing from the group's union than of all its tokens.
+    # The bound: of a query's low tokens that are not frequent no more may be missing from the group's union than of all its tokens.
     group_of = own.select("group", "id").distinct()
     group_of = stored(group_of.join(met.select("group").distinct(), "group", "left_semi"), "members")
-    low = F.filter("tokens", lambda t: t < low_limit(percent))
+    low = F.filter(F.slice("tokens", 1, F.col("cold").cast("int")), lambda t: t < low_limit(percent))
     unions = (
         sets.select("id", F.explode(low).alias("token")).join(group_of, "id").groupBy("group").agg(F.collect_set("token").alias("union"))
     )
