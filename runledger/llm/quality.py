@@ -155,19 +155,25 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
-def training_rows(rows: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Labelled rows to learn from, without held-out ones, as ``y`` beside the columns of ``rows``; at most ``most``.
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(label_id, y) of the documents to learn from: without held-out ones and NULLs; the largest of several labels."""
+    known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).filter("label_id IS NOT NULL AND y IS NOT NULL")
+    return known.filter(~is_held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("y").alias("y"))
 
-    Rows are taken in the order of a hash, so the sample is the same at every run.
-    """
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).filter("y IS NOT NULL")
-    known = known.filter(~is_held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("y").alias("y"))
-    joined = rows.join(known, rows["doc_id"] == known["label_id"]).drop("label_id")
-    return joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+def sampled(known: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` labelled documents in the order of a hash, so the sample is the same at every run."""
+    return known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+
+
+def training_rows(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """The rows of at most ``most`` sampled documents with their labels; these are few enough to be broadcast."""
+    joined = rows.join(F.broadcast(known), rows["doc_id"] == known["label_id"]).drop("label_id")
+    return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
 
 
 def _fitted(rows: DataFrame, labels: DataFrame, sample: int) -> Trees:
-    learned = training_rows(rows, labels, "quality", sample).select("x", "y").toPandas()
+    learned = training_rows(rows, sampled(known_labels(labels, "quality"), sample), sample).select("x", "y").toPandas()
     x = np.stack(learned.x.to_list()) if len(learned) else np.zeros((0, len(STATISTICS)))
     return fit(x, learned.y.to_numpy(float))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.batches import slices, texts_of
-from runledger.llm.quality import is_held_out, training_rows
+from runledger.llm.quality import is_held_out, known_labels, sampled, training_rows
 
 # Labelled rows to learn from, at most, of which the toxic ones come first up to a third.
 SAMPLE = 12_000
@@ -181,9 +181,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     nothing; of several labels of a document the largest counts. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    toxic = training_rows(rows, labels.filter("toxic = 1"), "toxic", sample // 3)
-    other = training_rows(rows, labels.filter("toxic = 0"), "toxic", sample - sample // 3)
-    learned = toxic.unionByName(other).orderBy(F.xxhash64("doc_id"), "doc_id", "y").select("text", "y").toPandas()
+    known = known_labels(labels, "toxic")
+    few = sampled(known.filter("y = 1"), sample // 3).unionByName(sampled(known.filter("y = 0"), sample - sample // 3))
+    learned = training_rows(rows, few, sample).select("text", "y").toPandas()
     model = fit(learned.text.to_list(), learned.y.to_numpy(int))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
