@@ -43,4 +43,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 last.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = now
-        last = stored(_small_star(_large_star(last).distinct()).distinct(), "edges")
+        last = stored(_small_star(_large_star(last)).distinct(), "edges")

@@ -153,13 +153,16 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     tier = F.when(F.col("at") >= F.col("cold"), 2).when(F.col("token") >= low_limit(percent), 1).otherwise(0)
     rows = sets.select("id", "cold", F.posexplode("tokens").alias("at", "token")).select("id", "token", tier.cast("byte").alias("tier"))
     shared = rows.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).filter("texts > 1")
-    order = Window.partitionBy("id").orderBy("tier", F.when(F.col("tier") == 0, F.col("texts")), "token")
-    ranked = shared.select("id", "token", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("id")).alias("shared"))
-    sizes = sets.select("id", "n", F.size("tokens").alias("held"))
+    # A list holds tokens of one text.
+    ranked = shared.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("tier", F.when(F.col("tier") == 0, F.col("texts")).alias("texts"), "token"))).alias("shared")
+    )
     n = F.col("n")
     prefix = n - F.floor((n * percent + 99) / 100) + 1
     # Tokens of this text alone come first.
-    return ranked.join(sizes, "id").filter(F.col("place") <= prefix - (F.col("held") - F.col("shared"))).select("token", "id", "n")
+    taken = F.greatest(prefix - (F.size("tokens") - F.size("shared")), F.lit(0)).cast("int")
+    cut = ranked.join(sets, "id").select("id", "n", F.slice("shared", F.lit(1), taken).alias("shared"))
+    return cut.select(F.explode("shared.token").alias("token"), "id", "n")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -253,9 +256,13 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 
     # What is still open lies between components: a text of the smaller one asks the other's groups.
     known = connected_components(close)
-    own = prefixes.join(known, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
-    sized = known.groupBy("component").agg(F.count("*").alias("weight"))
-    own = own.join(sized, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    known = known.join(known.groupBy("component").agg(F.count("*").alias("weight")), "component")
+    own = prefixes.join(known, F.col("id") == F.col("node"), "left").select(
+        "token", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight")
+    )
+    # Tokens of a single component can add nothing.
+    same = Window.partitionBy("token")
+    own = own.withColumn("several", F.min("component").over(same) < F.max("component").over(same)).filter("several").drop("several")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("weight") / GROUP))
     own = stored(own.withColumn("group", F.xxhash64("component", chunk)).withColumn("band", _band(F.col("n"), percent)), "open")
     asked = own.select("token", "band", "group", F.col("component").alias("other"), F.col("weight").alias("other_weight")).distinct()
@@ -264,21 +271,23 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     met = asking.drop("group").join(asked, ["token", "band"]).filter(smaller).select("id", "n", "group").distinct()
     met = stored(met, "met")
 
-    # The bound: of a query's low tokens that are not frequent no more may be missing from the group's union than of all its tokens.
-    group_of = own.select("group", "id").distinct()
+    # The bound: of a query's low tokens that are not frequent no more may be missing from the group's union than the
+    # threshold allows of all its tokens, against a member as small as any that it can reach.
+    group_of = own.select("group", "id", "n").distinct()
     group_of = stored(group_of.join(met.select("group").distinct(), "group", "left_semi"), "members")
     low = F.filter(F.slice("tokens", 1, F.col("cold").cast("int")), lambda t: t < low_limit(percent))
-    unions = (
-        sets.select("id", F.explode(low).alias("token")).join(group_of, "id").groupBy("group").agg(F.collect_set("token").alias("union"))
-    )
-    missing = F.size(F.array_except("low", "union"))
-    may_miss = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
+    # A group has about GROUP members. Their tokens are told apart before they meet.
+    held = group_of.join(sets.select("id", low.alias("low")), "id").groupBy("group")
+    unions = held.agg(F.array_distinct(F.flatten(F.collect_list("low"))).alias("union"), F.min("n").alias("smallest"))
+    n = F.col("n")
+    other = F.greatest("smallest", F.ceil(n * percent / 100))
+    may_miss = n - F.ceil((n + other) * percent / (100 + percent))
     open_ = (
-        met.join(sets.select("id", low.alias("low")), "id").join(unions, "group", "left")
-        .filter(F.coalesce(missing, F.size("low")) <= may_miss).select("group", "id")
+        met.join(sets.select("id", low.alias("low")), "id").join(unions, "group")
+        .filter(F.size(F.array_except("low", "union")) <= may_miss).select("group", "id")
     )
     open_ = stored(open_, "queries")
-    opened = group_of.join(open_.select("group").distinct(), "group", "left_semi")
+    opened = group_of.join(open_.select("group").distinct(), "group", "left_semi").select("group", "id")
     far = _links(opened, open_, texts, size, percent)
 
     linked = connected_components(close.unionByName(far))
