@@ -19,7 +19,7 @@ SELECT u.*, CAST(u.usage_quantity * COALESCE((
 FROM usage u
 """
 
-_BILLED = f"""
+BILLED = f"""
 SELECT usage_date, workspace_id, job_id, job_run_id, notebook_path, sku_name, usage_quantity AS dbus,
        cost AS estimated_cost_usd, usage_start_time, usage_end_time
 FROM priced
@@ -72,7 +72,7 @@ _TABLES = {
     "named_runs": _NAMED_RUNS,
     "current_cost": _CURRENT,
     "priced": _PRICED,
-    "billed": _BILLED,
+    "billed": BILLED,
     "attributed": _ATTRIBUTED,
     "summary": _SUMMARY,
     "weekly": _WEEKLY,

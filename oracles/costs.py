@@ -1,6 +1,6 @@
 """Oracles of the cost queries and the derived cost tables."""
 
-from oracles.base import TODAY, dates, query
+from oracles.base import BILLED, TODAY, dates, query
 
 _CATEGORY = """CASE WHEN UPPER(sku_name) LIKE '%SERVERLESS%' AND UPPER(sku_name) LIKE '%SQL%' THEN 'Serverless SQL'
             WHEN UPPER(sku_name) LIKE '%SERVERLESS%' AND UPPER(sku_name) LIKE '%JOB%' THEN 'Serverless Jobs'
@@ -28,9 +28,14 @@ FROM weekly WHERE week_start >= {TODAY} - 56 GROUP BY 1
 """
 _DEPARTMENTS = f"""
 SELECT COALESCE(department, 'Unknown') AS department, {usd('SUM(total_cost_usd)')} AS total_cost, {usd('SUM(total_dbus)')} AS total_dbus,
-       CAST(SUM(job_runs) AS BIGINT) AS job_runs, COUNT(DISTINCT project_code) AS project_count
+       CAST(SUM(job_runs) AS BIGINT) AS job_runs, COUNT(DISTINCT project_code) AS project_count,
+       (SELECT COUNT(DISTINCT a.job_run_id) FROM attributed a
+        WHERE a.department IS NOT DISTINCT FROM summary.department AND a.{dates(30)}) AS job_runs_distinct
 FROM summary WHERE {dates(30)} GROUP BY summary.department
 """
+_WEEKS = """
+SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN prev > 0 THEN ROUND((cost - prev) / prev * 100, 2) ELSE 0 END AS wow_change_pct
+FROM (SELECT *, LAG(cost) OVER (ORDER BY week_start) AS prev FROM rolled)"""
 
 SQL = {
     "price_usage_current": query(f"""
@@ -91,17 +96,21 @@ SELECT usage_date, workspace_id, job_id, job_run_id, notebook_path, sku_name, CA
 FROM attributed WHERE correlation_id IS NULL"""),
     "costs_by_project": query(f"""
 SELECT COALESCE(project_code, 'Untagged') AS project_code, COALESCE(department, 'Unknown') AS department,
-       {usd('SUM(total_cost_usd)')} AS total_cost, {usd('SUM(total_dbus)')} AS total_dbus, CAST(SUM(job_runs) AS BIGINT) AS job_runs
+       {usd('SUM(total_cost_usd)')} AS total_cost, {usd('SUM(total_dbus)')} AS total_dbus, CAST(SUM(job_runs) AS BIGINT) AS job_runs,
+       (SELECT COUNT(DISTINCT a.job_run_id) FROM attributed a
+        WHERE a.department IS NOT DISTINCT FROM summary.department AND a.project_code IS NOT DISTINCT FROM summary.project_code
+          AND a.{dates(30)}) AS job_runs_distinct
 FROM summary WHERE {dates(30)} GROUP BY summary.project_code, summary.department"""),
     "costs_by_department": query("SELECT * FROM departments", departments=_DEPARTMENTS),
     "costs_department_share": query(
         "SELECT *, ROUND(total_cost * 100.0 / SUM(total_cost) OVER (), 2) AS share_pct FROM departments", departments=_DEPARTMENTS),
-    "costs_trends": query("""
-SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN prev > 0 THEN ROUND((cost - prev) / prev * 100, 2) ELSE 0 END AS wow_change_pct
-FROM (SELECT *, LAG(cost) OVER (ORDER BY week_start) AS prev FROM rolled)""", rolled=_ROLL).replace("SELECT *, CASE", "SELECT * EXCLUDE (prev), CASE"),
+    "costs_trends": query(_WEEKS, rolled=_ROLL).replace("SELECT *, CASE", "SELECT * EXCLUDE (prev), CASE"),
+    "costs_trends_year": query(_WEEKS, rolled=_ROLL.replace("- 56", "- 364"), billed=BILLED.replace("- 90", "- 364")).replace(
+        "SELECT *, CASE", "SELECT * EXCLUDE (prev), CASE"
+    ),
     "correlation_breakdown": query(f"""
 SELECT correlation_status AS status, COUNT(*) AS count, {usd('SUM(estimated_cost_usd)')} AS cost FROM attributed WHERE {dates(7)} GROUP BY 1"""),
-    "correlation_rate": query(f"""
+    "costs_correlation_rate": query(f"""
 SELECT COUNT(*) AS total_records, COUNT(correlation_id) AS matched, COUNT(*) - COUNT(correlation_id) AS unmatched,
        ROUND(COUNT(correlation_id) * 100.0 / COUNT(*), 2) AS correlation_rate_pct
 FROM attributed WHERE {dates(7)}"""),
@@ -109,11 +118,11 @@ FROM attributed WHERE {dates(7)}"""),
 SELECT {usd('SUM(estimated_cost_usd)')} AS total_cost, {usd('SUM(estimated_cost_usd) FILTER (WHERE correlation_id IS NULL)')} AS untagged_cost,
        ROUND(CAST(SUM(estimated_cost_usd) FILTER (WHERE correlation_id IS NULL) AS DOUBLE) * 100 / CAST(SUM(estimated_cost_usd) AS DOUBLE), 2) AS untagged_pct
 FROM attributed WHERE {dates(30)}"""),
-    "correlation_by_adf": query(f"""
+    "correlation_by_pipeline": query(f"""
 SELECT COALESCE(adf_pipeline_name, 'Direct Execution') AS pipeline_name, COUNT(*) AS total_records, COUNT(correlation_id) AS matched,
        ROUND(COUNT(correlation_id) * 100.0 / COUNT(*), 2) AS correlation_rate_pct
 FROM attributed WHERE {dates(30)} GROUP BY adf_pipeline_name"""),
-    "costs_by_adf": query(f"""
+    "costs_by_pipeline": query(f"""
 SELECT COALESCE(adf_pipeline_name, 'Direct Execution') AS pipeline_name, {usd('SUM(estimated_cost_usd)')} AS total_cost,
        {usd('SUM(dbus)')} AS total_dbus, COUNT(DISTINCT job_run_id) AS job_runs
 FROM attributed WHERE {dates(30)} GROUP BY adf_pipeline_name"""),

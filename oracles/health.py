@@ -33,11 +33,11 @@ GROUP BY 1 HAVING COUNT(*) >= 5
 _ODD = """
 SELECT CAST(r.job_id AS BIGINT) AS job_id, r.job_name, 'duration' AS metric, ROUND(r.mean, 2) AS current_value, ROUND(b.mean, 2) AS avg_value,
        ROUND(b.sd, 2) AS std_dev, ROUND((r.mean - b.mean) / b.sd, 2) AS z_score,
-       CASE WHEN ABS((r.mean - b.mean) / b.sd) >= 3 THEN 'critical' ELSE 'warning' END AS severity
+       CASE WHEN ABS((r.mean - b.mean) / b.sd) >= 3 THEN 'critical' ELSE 'warning' END AS severity, (r.mean - b.mean) / b.sd AS z
 FROM recent r JOIN base b ON b.job_id = r.job_id
 WHERE b.sd > 0 AND ABS((r.mean - b.mean) / b.sd) >= 2
-ORDER BY ABS((r.mean - b.mean) / b.sd) DESC, 1, 2 LIMIT 20
 """
+_ODD_ORDER = "ORDER BY ABS(z) DESC, job_id, job_name LIMIT 20"
 _OK = f"SELECT CAST(job_id AS BIGINT) AS job_id, job_name, execution_duration_seconds AS d FROM named_runs WHERE {days(7)} AND result_state = 'SUCCEEDED'"
 _MEANS = "SELECT job_id, job_name, COUNT(*) AS n, AVG(d) AS mean FROM ok GROUP BY 1, 2"
 _OVER = "SELECT ok.job_id, COUNT(*) AS n FROM ok JOIN means ON means.job_id = ok.job_id WHERE ok.d > means.mean * 2.0 GROUP BY 1"
@@ -47,8 +47,8 @@ SELECT s.job_id, s.job_name, s.n AS total_runs, ROUND(s.mean, 2) AS avg_duration
        CASE WHEN ROUND((s.n - COALESCE(v.n, 0)) * 100.0 / s.n, 2) >= 95 THEN 'compliant'
             WHEN ROUND((s.n - COALESCE(v.n, 0)) * 100.0 / s.n, 2) >= 80 THEN 'at_risk' ELSE 'non_compliant' END AS status
 FROM means s LEFT JOIN over_mean v ON v.job_id = s.job_id
-ORDER BY sla_violations DESC, total_runs DESC, s.job_id, s.job_name LIMIT 50
 """
+_SLA_ORDER = "ORDER BY sla_violations DESC, total_runs DESC, job_id, job_name LIMIT 50"
 _SLA_PARTS = {"ok": _OK, "means": _MEANS, "over_mean": _OVER, "sla": _SLA}
 _LATE_PARTS = {"usual": _USUAL, "late": _LATE}
 _ODD_PARTS = {"recent": _RECENT, "base": _BASE, "odd": _ODD}
@@ -61,7 +61,7 @@ SELECT CAST(job_id AS BIGINT) AS job_id, job_name, COUNT(*) AS total_runs, COUNT
        ROUND(COUNT(*) FILTER (WHERE result_state = 'SUCCEEDED') * 100.0 / COUNT(*), 2) AS success_rate
 FROM named_runs WHERE {days(7)} GROUP BY named_runs.job_id, job_name"""),
     "health_prolonged": query("SELECT * FROM late", **_LATE_PARTS),
-    "health_anomalies": query("SELECT * FROM odd", **_ODD_PARTS),
+    "health_anomalies": query(f"SELECT * EXCLUDE (z) FROM odd {_ODD_ORDER}", **_ODD_PARTS),
     "health_retries": query(f"""
 SELECT CAST(job_id AS BIGINT) AS job_id, job_name, COUNT(DISTINCT run_id) AS unique_runs, COUNT(DISTINCT run_id) AS total_attempts,
        COUNT(*) FILTER (WHERE result_state IN {BAD}) AS retry_attempts, COUNT(DISTINCT run_id) AS max_attempts,
@@ -69,7 +69,7 @@ SELECT CAST(job_id AS BIGINT) AS job_id, job_name, COUNT(DISTINCT run_id) AS uni
 FROM named_runs WHERE {days(7)} GROUP BY named_runs.job_id, job_name
 HAVING retry_attempts > 0 AND COUNT(*) FILTER (WHERE result_state = 'SUCCEEDED') > 0
 ORDER BY retry_attempts DESC, CAST(named_runs.job_id AS BIGINT), job_name LIMIT 20"""),
-    "health_sla": query("SELECT * FROM sla", **_SLA_PARTS),
+    "health_sla": query(f"SELECT * FROM sla {_SLA_ORDER}", **_SLA_PARTS),
     "health_percentiles": query(f"""
 SELECT CAST(job_id AS BIGINT) AS job_id, job_name, COUNT(*) AS run_count,
        ROUND(quantile_cont(execution_duration_seconds, 0.5), 2) AS p50_seconds, ROUND(quantile_cont(execution_duration_seconds, 0.9), 2) AS p90_seconds,
@@ -88,7 +88,7 @@ SELECT CAST(job_id AS BIGINT) AS job_id, job_name, COUNT(*) AS total_runs,
 FROM named_runs WHERE {days(30)} GROUP BY named_runs.job_id, job_name"""),
     "health_score": query("""
 SELECT CAST(ROUND(COALESCE((SELECT AVG(CASE WHEN status = 'compliant' THEN 100.0 ELSE 0.0 END) FROM sla), 100)) AS BIGINT) AS health_score,
-       (SELECT COUNT(*) FROM sla) AS sla_jobs, (SELECT LEAST(COUNT(*), 10) FROM failed) AS failed_jobs,
+       (SELECT COUNT(*) FROM sla) AS sla_jobs, (SELECT COUNT(*) FROM failed) AS failed_jobs,
        (SELECT COUNT(*) FROM late) AS prolonged_runs, (SELECT COUNT(*) FROM odd) AS anomalies""",
         failed=_FAILED, **_LATE_PARTS, **_ODD_PARTS, **_SLA_PARTS),
 }

@@ -57,6 +57,11 @@ FROM (SELECT run_type, COUNT(*) AS n FROM runs WHERE {days(30)} GROUP BY run_typ
     "jobs_matrix_flat": query("""
 SELECT job_id, job_name, run_id, result_state, start_time, duration_seconds, CAST(rn AS INT) AS rn
 FROM ranked WHERE rn <= 10 AND job_id IN (SELECT DISTINCT job_id FROM ranked ORDER BY job_id LIMIT 50)""", ranked=_RANKED),
+    "jobs_matrix": query("""
+SELECT job_id, COALESCE(NULLIF(FIRST(job_name ORDER BY rn), ''), 'Job ' || job_id) AS job_name,
+       string_agg(concat_ws('|', run_id, COALESCE(result_state, '-'), strftime(start_time, '%Y-%m-%d %H:%M:%S'), COALESCE(CAST(duration_seconds AS BIGINT)::VARCHAR, '-')),
+                  ';' ORDER BY rn) AS runs
+FROM ranked WHERE rn <= 10 AND job_id IN (SELECT DISTINCT job_id FROM ranked ORDER BY job_id LIMIT 50) GROUP BY job_id""", ranked=_RANKED),
     "jobs_overlaps": query(f"""
 SELECT CAST(a.job_id AS BIGINT) AS job_id_1, COALESCE(a.job_name, a.run_name) AS job_name_1, CAST(a.run_id AS BIGINT) AS run_id_1,
        CAST(b.job_id AS BIGINT) AS job_id_2, COALESCE(b.job_name, b.run_name) AS job_name_2, CAST(b.run_id AS BIGINT) AS run_id_2,

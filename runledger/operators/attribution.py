@@ -92,14 +92,14 @@ def _profile(t: Tables, clock: Clock, days: int) -> _Profile:
     keyed = _billed(t, clock, days).withColumn("_bucket", _bucket(F.col("usage_start_time"))).select(
         "usage_start_time", key_hash(BY_RUN).alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook")
     )
+    partitions = shuffle_partitions(t.usage)
     row = keyed.agg(
         F.min("usage_start_time").alias("first"),
         F.max("usage_start_time").alias("last"),
         F.count("*").alias("n"),
-        sketch("_run", "runs"),
-        sketch("_notebook", "notebooks"),
+        sketch("_run", "runs", partitions),
+        sketch("_notebook", "notebooks", partitions),
     ).first()
-    partitions = shuffle_partitions(t.usage)
     return _Profile(
         row.first or clock.as_of,
         row.last or clock.as_of,
@@ -113,10 +113,10 @@ def _hot_tags(t: Tables, intervals: DataFrame) -> tuple[dict[int, int], dict[int
     keyed = t.tags.select(key_hash(BY_RUN).alias("_run"), F.lit(None).cast("bigint").alias("_notebook")).unionByName(
         intervals.select(F.lit(None).cast("bigint").alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook"))
     )
+    partitions = shuffle_partitions(t.tags)
     row = keyed.agg(
-        sketch("_run", "runs"), F.count("_run").alias("n"), sketch("_notebook", "notebooks"), F.count("_notebook").alias("m")
+        sketch("_run", "runs", partitions), F.count("_run").alias("n"), sketch("_notebook", "notebooks", partitions), F.count("_notebook").alias("m")
     ).first()
-    partitions = shuffle_partitions(t.tags)
     return parts_of(row.runs, row.n, partitions), parts_of(row.notebooks, row.m, partitions)
 
 
@@ -185,7 +185,17 @@ def attribute_usage(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFra
     usage, intervals = billed_usage(t, clock, days), _tag_intervals(t, clock, profile)
     matched = _matched(t, usage, intervals, profile).withColumn("correlation_status", F.lit(V.MATCHED))
     rest = _unmatched(t, usage, intervals, profile).withColumn("correlation_status", F.lit(V.UNMATCHED))
-    return matched.unionByName(rest, allowMissingColumns=True)
+    return note_days(matched.unionByName(rest, allowMissingColumns=True), days)
+
+
+def note_days(attributed: DataFrame, days: int) -> DataFrame:
+    """Notes the window with the date column, so a report can tell whether shared rows reach back far enough."""
+    return attributed.withColumn("usage_date", F.col("usage_date").alias("usage_date", metadata={"days": days}))
+
+
+def attributed_days(attributed: DataFrame) -> int | None:
+    """How many days of usage attributed rows hold, where that is known."""
+    return attributed.schema["usage_date"].metadata.get("days")
 
 
 def unmatched_rows(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFrame:

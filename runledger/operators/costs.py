@@ -19,6 +19,8 @@ from runledger.functions import sku_category, sku_short_label, usd
 from runledger.operators.pricing import flat_price, with_current_price
 from runledger.sources.tables import Tables
 
+SUMMARY_KEYS = ["usage_date", "project_code", "cost_center", "department", "environment", "application_name", "adf_pipeline_name"]
+
 SKU_KEY = ["sku_name", "cloud"]
 
 
@@ -206,34 +208,49 @@ def sku_labels(t: Tables, clock: Clock, days: int = 90) -> DataFrame:
 # Reports over usage joined with the tag log; ``plans.views`` supplies the attributed rows.
 
 
-def roll_up_projects(summary: DataFrame) -> DataFrame:
-    """Cost per project and department. Run counts are added over the finer groups of the summary."""
+def _per_run(attributed: DataFrame) -> DataFrame:
+    """Cost and usage of each run per date and six tag dimensions, added up before anything is counted."""
+    return attributed.groupBy(*SUMMARY_KEYS, "job_run_id").agg(F.sum("estimated_cost_usd").alias("c"), F.sum("dbus").alias("q"))
+
+
+def _totals():
+    """A run counts once in each group of the summary for ``job_runs``, and once altogether for ``job_runs_distinct``."""
+    return [
+        F.sum("c").alias("c"),
+        F.sum("q").alias("q"),
+        F.count("job_run_id").alias("job_runs"),
+        F.countDistinct("job_run_id").alias("job_runs_distinct"),
+    ]
+
+
+def roll_up_projects(attributed: DataFrame) -> DataFrame:
+    """Cost and runs per project and department."""
     return (
-        summary.groupBy("project_code", "department")
-        .agg(
-            F.sum("total_cost_usd").alias("c"),
-            F.sum("total_dbus").alias("q"),
-            F.sum("job_runs").alias("job_runs"),
-        )
+        _per_run(attributed).groupBy("project_code", "department")
+        .agg(*_totals())
         .select(
             F.coalesce("project_code", F.lit(V.UNTAGGED_PROJECT)).alias("project_code"),
             F.coalesce("department", F.lit(V.UNKNOWN_DEPARTMENT)).alias("department"),
             usd(F.col("c")).alias("total_cost"),
             usd(F.col("q")).alias("total_dbus"),
             "job_runs",
+            "job_runs_distinct",
         )
         .orderBy(F.desc("total_cost"), "project_code", "department")
     )
 
 
-def roll_up_departments(summary: DataFrame) -> DataFrame:
-    """Cost per department with the number of its projects."""
+def roll_up_departments(attributed: DataFrame) -> DataFrame:
+    """Cost and runs per department with the number of its projects."""
+    # First per project and run, so that only one distinct count is left for each step.
+    per_project = _per_run(attributed).groupBy("department", "project_code", "job_run_id").agg(F.sum("c").alias("c"), F.sum("q").alias("q"), F.count("*").alias("n"))
     return (
-        summary.groupBy("department")
+        per_project.groupBy("department")
         .agg(
-            F.sum("total_cost_usd").alias("c"),
-            F.sum("total_dbus").alias("q"),
-            F.sum("job_runs").alias("job_runs"),
+            F.sum("c").alias("c"),
+            F.sum("q").alias("q"),
+            F.coalesce(F.sum(F.when(F.col("job_run_id").isNotNull(), F.col("n"))), F.lit(0)).alias("job_runs"),
+            F.countDistinct("job_run_id").alias("job_runs_distinct"),
             F.countDistinct("project_code").alias("project_count"),
         )
         .select(
@@ -241,6 +258,7 @@ def roll_up_departments(summary: DataFrame) -> DataFrame:
             usd(F.col("c")).alias("total_cost"),
             usd(F.col("q")).alias("total_dbus"),
             "job_runs",
+            "job_runs_distinct",
             "project_count",
         )
         .orderBy(F.desc("total_cost"), "department")

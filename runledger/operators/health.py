@@ -23,11 +23,10 @@ def _by_name(t: Tables, reduced: DataFrame):
     return with_job_name(t, reduced).groupBy(*NAMED_JOB)
 
 
-def health_failed_jobs(t: Tables, clock: Clock, days: int = 7, min_runs: int = 3, limit: int = 20) -> DataFrame:
-    """Jobs with failures and enough runs, most failures first."""
+def _failed_jobs(t: Tables, clock: Clock, days: int = 7, min_runs: int = 3) -> DataFrame:
+    """All jobs with failures and enough runs."""
     check_range("days", days, 1, 90)
     check_range("min_runs", min_runs, 1)
-    check_range("limit", limit, 1, 100)
     bad = is_bad(F.col("result_state"))
     reduced = recent_runs(t, clock, days).groupBy(*JOB_KEY).agg(
         F.count("*").alias("n"),
@@ -39,20 +38,22 @@ def health_failed_jobs(t: Tables, clock: Clock, days: int = 7, min_runs: int = 3
         .agg(F.sum("n").alias("total_runs"), F.sum("bad").alias("failed_runs"), F.max("last").alias("last_failure"))
         .filter((F.col("total_runs") >= min_runs) & (F.col("failed_runs") > 0))
     )
-    return (
-        jobs.select(
-            as_id(F.col("job_id")).alias("job_id"),
-            "job_name",
-            "total_runs",
-            "failed_runs",
-            pct(F.col("total_runs") - F.col("failed_runs"), F.col("total_runs")).alias("success_rate"),
-            "last_failure",
-        )
-        .orderBy(F.desc("failed_runs"), "job_id", "job_name")
-        .limit(limit)
+    return jobs.select(
+        as_id(F.col("job_id")).alias("job_id"),
+        "job_name",
+        "total_runs",
+        "failed_runs",
+        pct(F.col("total_runs") - F.col("failed_runs"), F.col("total_runs")).alias("success_rate"),
+        "last_failure",
     )
 
 
+def health_failed_jobs(t: Tables, clock: Clock, days: int = 7, min_runs: int = 3, limit: int = 20) -> DataFrame:
+    """Jobs with failures and enough runs, most failures first."""
+    check_range("limit", limit, 1, 100)
+    return _failed_jobs(t, clock, days, min_runs).orderBy(F.desc("failed_runs"), "job_id", "job_name").limit(limit)
+
+
 def job_success_rates(t: Tables, clock: Clock, days: int = 7) -> DataFrame:
     """Success rate of every job."""
     check_range("days", days, 1, 90)
@@ -99,10 +100,8 @@ def health_prolonged(t: Tables, clock: Clock, warning: float = 1.5, critical: fl
     ).orderBy(F.desc("duration_seconds"), "run_id")
 
 
-def health_anomalies(
-    t: Tables, clock: Clock, days: int = 7, baseline_days: int = 30, z_threshold: float = 2.0, limit: int = 20
-) -> DataFrame:
-    """Jobs whose recent mean duration is far from their baseline, in baseline standard deviations."""
+def _anomalies(t: Tables, clock: Clock, days: int = 7, baseline_days: int = 30, z_threshold: float = 2.0) -> DataFrame:
+    """All jobs whose recent mean duration is far from their baseline, with the distance ``z``."""
     check_range("days", days, 1, 30)
     check_range("baseline_days", baseline_days, 7, 90)
     check_range("z_threshold", z_threshold, 1)
@@ -128,6 +127,17 @@ def health_anomalies(
         recent.join(baseline, "job_id")
         .withColumn("z", (F.col("current") - F.col("base")) / F.col("sd"))
         .filter(F.abs(z) >= z_threshold)
+    )
+
+
+def health_anomalies(
+    t: Tables, clock: Clock, days: int = 7, baseline_days: int = 30, z_threshold: float = 2.0, limit: int = 20
+) -> DataFrame:
+    """Jobs whose recent mean duration is far from their baseline, in baseline standard deviations."""
+    check_range("limit", limit, 1, 100)
+    z = F.col("z")
+    return (
+        _anomalies(t, clock, days, baseline_days, z_threshold)
         .orderBy(F.abs(z).desc(), as_id(F.col("job_id")).asc(), "job_name")
         .limit(limit)
         .select(
@@ -148,13 +158,17 @@ def health_retries(t: Tables, clock: Clock, days: int = 7, limit: int = 20) -> D
     check_range("days", days, 1, 90)
     check_range("limit", limit, 1, 100)
     state = F.col("result_state")
+    runs = (
+        recent_runs(t, clock, days)
+        .groupBy(*JOB_KEY, as_id(F.col("run_id")).alias("run_number"))
+        .agg(F.count_if(is_bad(state)).alias("bad"), F.count_if(is_succeeded(state)).alias("ok"))
+    )
     jobs = (
-        with_job_name(t, recent_runs(t, clock, days).select(*JOB_KEY, "run_id", "result_state"))
-        .groupBy(*NAMED_JOB)
+        _by_name(t, runs)
         .agg(
-            F.countDistinct(as_id(F.col("run_id"))).alias("unique_runs"),
-            F.count_if(is_bad(state)).alias("retry_attempts"),
-            F.count_if(is_succeeded(state)).alias("ok"),
+            F.countDistinct("run_number").alias("unique_runs"),
+            F.sum("bad").alias("retry_attempts"),
+            F.sum("ok").alias("ok"),
         )
         .filter("retry_attempts > 0 AND ok > 0")
     )
@@ -178,8 +192,8 @@ def duration_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*JOB_KEY, F.col(_DURATION).alias("d")).agg(F.count("*").alias("c"))
 
 
-def health_sla(t: Tables, clock: Clock, days: int = 7, sla_multiplier: float = 2.0, limit: int = 50) -> DataFrame:
-    """Share of a job's successful runs within a multiple of its mean duration.
+def _sla(t: Tables, clock: Clock, days: int = 7, sla_multiplier: float = 2.0) -> DataFrame:
+    """Share of each job's successful runs within a multiple of its mean duration.
 
     Violations are counted per job id against the mean of every name the id has run under.
     """
@@ -212,11 +226,16 @@ def health_sla(t: Tables, clock: Clock, days: int = 7, sla_multiplier: float = 2
         )
         .withColumn("compliance_rate_pct", rate)
         .withColumn("status", F.when(shown >= 95, "compliant").when(shown >= 80, "at_risk").otherwise("non_compliant"))
-        .orderBy(F.desc("sla_violations"), F.desc("total_runs"), "job_id", "job_name")
-        .limit(limit)
     )
 
 
+def health_sla(t: Tables, clock: Clock, days: int = 7, sla_multiplier: float = 2.0, limit: int = 50) -> DataFrame:
+    """Jobs by their share of successful runs within a multiple of their mean duration, most violations first."""
+    check_range("limit", limit, 1, 500)
+    order = F.desc("sla_violations"), F.desc("total_runs"), "job_id", "job_name"
+    return _sla(t, clock, days, sla_multiplier).orderBy(*order).limit(limit)
+
+
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 
 
@@ -281,12 +300,12 @@ def job_health_metrics(t: Tables, clock: Clock, days: int = 30) -> DataFrame:
 
 
 def health_score(t: Tables, clock: Clock) -> DataFrame:
-    """Share of compliant jobs among the SLA rows, with the sizes of the health lists, one row."""
+    """Share of compliant jobs among all with an SLA row, with the full sizes of the health lists, one row."""
     sized = {
-        "sla": health_sla(t, clock).select((F.col("status") == "compliant").alias("good")),
-        "failed": health_failed_jobs(t, clock, limit=10).select(F.lit(False).alias("good")),
+        "sla": _sla(t, clock).select((F.col("status") == "compliant").alias("good")),
+        "failed": _failed_jobs(t, clock).select(F.lit(False).alias("good")),
         "prolonged": health_prolonged(t, clock).select(F.lit(False).alias("good")),
-        "anomalies": health_anomalies(t, clock).select(F.lit(False).alias("good")),
+        "anomalies": _anomalies(t, clock).select(F.lit(False).alias("good")),
     }
     rows = None
     for kind, df in sized.items():

@@ -100,15 +100,19 @@ def jobs_by_type(t: Tables, clock: Clock, days: int = 7) -> DataFrame:
 
 def share_of(df: DataFrame, value: str, alias: str = "share_pct") -> DataFrame:
     """Adds each row's percentage of the column total."""
-    total = df.select(F.sum(value)).scalar()
+    # Groups of a report: a row per type or department, so one window over all of them is small.
+    total = F.sum(value).over(Window.partitionBy())
     return df.withColumn(alias, F.when(total > 0, F.round(F.col(value) * F.lit(100.0) / total, 2)).otherwise(F.lit(0.0)))
 
 
-def jobs_matrix_flat(t: Tables, clock: Clock, limit: int = 50, runs_per_job: int = 10) -> DataFrame:
-    """Newest runs of the first ``limit`` jobs by id, numbered per job."""
+def _matrix_rows(t: Tables, clock: Clock, limit: int, runs_per_job: int) -> DataFrame:
+    """Newest runs of the first ``limit`` jobs by id, with the id as given (``job_key``) and as a number.
+
+    Runs without a job id belong to no job; ids that are no numbers are jobs of their own, before all numbers.
+    """
     check_range("limit", limit, 1, 200)
     check_range("runs_per_job", runs_per_job, 1, 50)
-    runs = recent_runs(t, clock, 30).withColumn("job_number", as_id(F.col("job_id")))
+    runs = recent_runs(t, clock, 30).filter("job_id IS NOT NULL").withColumn("job_number", as_id(F.col("job_id")))
     # Ids of the shown jobs first (at most ``limit`` rows), so only their runs are ranked.
     shown = runs.select("job_number", "job_id").distinct().orderBy("job_number", "job_id").limit(limit).select("job_id")
     newest = Window.partitionBy("job_id").orderBy(F.desc("period_start_time"), as_id(F.col("run_id")).desc())
@@ -118,6 +122,7 @@ def jobs_matrix_flat(t: Tables, clock: Clock, limit: int = 50, runs_per_job: int
         .filter(F.col("rn") <= runs_per_job)
     )
     return with_job_name(t, ranked).select(
+        F.col("job_id").alias("job_key"),
         F.col("job_number").alias("job_id"),
         "job_name",
         as_id(F.col("run_id")).alias("run_id"),
@@ -125,7 +130,12 @@ def jobs_matrix_flat(t: Tables, clock: Clock, limit: int = 50, runs_per_job: int
         F.col("period_start_time").alias("start_time"),
         F.col("execution_duration_seconds").alias("duration_seconds"),
         "rn",
-    ).orderBy("job_id", "rn")
+    )
+
+
+def jobs_matrix_flat(t: Tables, clock: Clock, limit: int = 50, runs_per_job: int = 10) -> DataFrame:
+    """Newest runs of the first ``limit`` jobs by id, numbered per job."""
+    return _matrix_rows(t, clock, limit, runs_per_job).orderBy("job_id", "job_key", "rn").drop("job_key")
 
 
 def jobs_matrix(
@@ -134,19 +144,20 @@ def jobs_matrix(
     """One row per job with its newest runs nested; a group holds at most ``runs_per_job`` runs."""
     run = F.struct("rn", "job_name", "run_id", "result_state", "start_time", F.col("duration_seconds").cast("double").alias("duration_seconds"))
     grid = (
-        jobs_matrix_flat(t, clock, limit, runs_per_job)
-        .groupBy("job_id")
+        _matrix_rows(t, clock, limit, runs_per_job)
+        .groupBy("job_key", "job_id")
         .agg(F.array_sort(F.collect_list(run)).alias("runs"))
         .select(
+            "job_key",
             "job_id",
-            _display_name(F.col("runs")[0]["job_name"], F.col("job_id")).alias("job_name"),
+            _display_name(F.col("runs")[0]["job_name"], F.col("job_key")).alias("job_name"),
             F.transform("runs", lambda r: r.dropFields("rn", "job_name")).alias("runs"),
         )
     )
     if search:
         name_hit = F.contains(F.lower("job_name"), F.lit(search.lower()))
-        grid = grid.filter(name_hit | F.contains(F.col("job_id").cast("string"), F.lit(search)))
-    return grid.orderBy("job_id")
+        grid = grid.filter(name_hit | F.contains(F.col("job_key"), F.lit(search)))
+    return grid.orderBy("job_id", "job_key").drop("job_key")
 
 
 def _display_name(name, job_id):
@@ -164,7 +175,7 @@ def jobs_search(
 ) -> DataFrame:
     """One page of the runs whose job name, job id or creator contains ``q`` in any case."""
     check_range("days", days, 1, 90)
-    check_range("page", page, 0)
+    check_range("page", page, 0, 10_000)
     check_range("page_size", page_size, 1, 100)
     runs = recent_runs(t, clock, days)
     if status:
@@ -186,9 +197,10 @@ def jobs_search(
 
 
 def jobs_timeline(t: Tables, clock: Clock, hours: int = 24, rows: int = 30) -> DataFrame:
-    """The newest runs laid out on a time axis from the earliest of them to now."""
+    """The newest ``rows`` runs laid out on a time axis from the earliest of them to now."""
     check_range("hours", hours, 1, 168)
-    listed = jobs_runs(t, clock, days=ceil(hours / 24), limit=200).filter(F.col("start_time").isNotNull())
+    check_range("rows", rows, 1, 1000)
+    listed = jobs_runs(t, clock, days=ceil(hours / 24), limit=rows).filter(F.col("start_time").isNotNull())
     shown = listed.orderBy(*_newest_first()).limit(rows)
     whole = Window.partitionBy()  # at most ``rows`` rows
     seconds = lambda a, b: seconds_between(F.col(a), F.col(b))

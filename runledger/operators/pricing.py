@@ -40,14 +40,14 @@ def _daily_prices(t: Tables, clock: Clock, days: int) -> DataFrame:
 
 
 def _price_by_day(t: Tables, clock: Clock, days: int) -> DataFrame:
-    """Per SKU and day the price of each cloud and the one to use elsewhere (newest, then first cloud).
+    """Per SKU and day the price of each cloud and the one to use elsewhere (newest, then first cloud, none last).
 
     A group holds one entry per cloud.
     """
     # The newest price of a cloud; the lower one if two began together.
     newest = F.max(F.struct("price_start_time", (-F.col("unit_price")).alias("minus"), "unit_price")).alias("p")
-    per_cloud = _daily_prices(t, clock, days).filter("cloud IS NOT NULL").groupBy("sku_name", "usage_date", "cloud").agg(newest)
-    entries = F.collect_list(F.struct("cloud", F.col("p.price_start_time").alias("since"), F.col("p.unit_price").alias("unit_price")))
+    per_cloud = _daily_prices(t, clock, days).groupBy("sku_name", "usage_date", "cloud").agg(newest)
+    entries = F.collect_list(F.struct(F.col("cloud").isNull().alias("anywhere"), "cloud", F.col("p.price_start_time").alias("since"), F.col("p.unit_price").alias("unit_price")))
     latest = F.array_max(F.transform("e", lambda x: x["since"]))
     return (
         per_cloud.groupBy("sku_name", "usage_date")
@@ -55,7 +55,7 @@ def _price_by_day(t: Tables, clock: Clock, days: int) -> DataFrame:
         .select(
             "sku_name",
             "usage_date",
-            F.map_from_entries(F.transform("e", lambda x: F.struct(x["cloud"], x["unit_price"]))).alias("_own"),
+            F.map_from_entries(F.transform(F.filter("e", lambda x: ~x["anywhere"]), lambda x: F.struct(x["cloud"], x["unit_price"]))).alias("_own"),
             F.array_min(F.filter("e", lambda x: x["since"] == latest))["unit_price"].alias("_any"),
         )
     )

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-# Entries kept of a sketch; twice this bounds the broadcast list of hot keys.
-HOT_KEYS = 256
+# Entries kept of a sketch: as many keys as can exceed a fair partition, within these bounds. Twice the upper one
+# bounds the broadcast list of hot keys.
+FEWEST_HOT_KEYS, MOST_HOT_KEYS = 256, 5_000
 _HOT = StructType([StructField("_key", LongType()), StructField("_lefts", IntegerType()), StructField("_rights", IntegerType())])
 
 
@@ -28,9 +29,10 @@ def key_hash(on: list[str]) -> Column:
     return F.when(~any_null, F.xxhash64(*on))
 
 
-def sketch(column: str, alias: str) -> Column:
-    """Aggregate: the most frequent values of a hashed key, at most ``HOT_KEYS``."""
-    return F.expr(f"approx_top_k({column}, {HOT_KEYS}) FILTER (WHERE {column} IS NOT NULL)").alias(alias)
+def sketch(column: str, alias: str, partitions: int) -> Column:
+    """Aggregate: the most frequent values of a hashed key, as many as can exceed one of ``partitions``."""
+    kept = min(MOST_HOT_KEYS, max(FEWEST_HOT_KEYS, partitions))
+    return F.expr(f"approx_top_k({column}, {kept}) FILTER (WHERE {column} IS NOT NULL)").alias(alias)
 
 
 def parts_of(top: Iterable[Row] | None, rows: int, partitions: int) -> dict[int, int]:
@@ -45,29 +47,32 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def hot_keys(df: DataFrame, on: list[str], partitions: int | None = None) -> dict[int, int]:
     """Hot keys of a table with the parts to split each into; one pass over the key columns."""
-    row = df.select(key_hash(on).alias("_key")).agg(sketch("_key", "top"), F.count("*").alias("n")).first()
-    return parts_of(row.top, row.n, partitions or shuffle_partitions(df))
+    partitions = partitions or shuffle_partitions(df)
+    row = df.select(key_hash(on).alias("_key")).agg(sketch("_key", "top", partitions), F.count("*").alias("n")).first()
+    return parts_of(row.top, row.n, partitions)
 
 
 def _spread(df: DataFrame, on: list[str], hot: DataFrame | None, own: str, other: str, spread_nulls: bool) -> DataFrame:
     """Adds ``own``, the part a row belongs to, and repeats the row for every part of the other side."""
     key = key_hash(on)
+    # A row's part follows from its other columns: the same at every attempt, and however the rows are laid out.
+    others = [name for name, kind in df.dtypes if name not in on and "map<" not in kind] or on
+    spot = F.pmod(F.xxhash64(*others), F.lit(2**31 - 1))
     if hot is None:
         # Zero for every key, but not a constant that the optimizer would drop from the partitioning.
         part = F.coalesce(key % 1, F.lit(0)).cast("int")
-        spread = df.withColumn("_task", F.spark_partition_id()).withColumn(other, part)
+        spread = df.withColumn("_spot", spot).withColumn(other, part)
     else:
         spread = (
-            df.withColumn("_task", F.spark_partition_id())
+            df.withColumn("_spot", spot)
             .withColumn("_key", key)
             .join(F.broadcast(hot), "_key", "left")
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_{other}") - 1, F.lit(0)))))
         )
-        part = F.coalesce(F.col("_task") % F.col(f"_{own}"), F.lit(0))
-    # A task keeps all its rows of a key in one part, so a repeated task repeats its choice exactly.
+        part = F.coalesce(F.col("_spot") % F.col(f"_{own}"), F.lit(0)).cast("int")
     if spread_nulls:
-        part = F.when(reduce(or_, (F.col(name).isNull() for name in on)), F.col("_task")).otherwise(part)
-    return spread.withColumn(own, part).drop("_task", "_key", "_lefts", "_rights")
+        part = F.when(reduce(or_, (F.col(name).isNull() for name in on)), F.col("_spot").cast("int")).otherwise(part)
+    return spread.withColumn(own, part).drop("_spot", "_key", "_lefts", "_rights")
 
 
 def spread_join(

@@ -11,7 +11,9 @@ from runledger.clock import Clock, check_range
 from runledger.functions import pct
 from runledger.sources.tables import Tables
 
-# Columns of the tag log that a policy may speak about.
+# Policies that are read at most; more of them are taken for a mistake.
+MOST_POLICIES = 1_000
+# Columns of the tag log with business tags.
 TAG_FIELDS = ["project_code", "cost_center", "department", "business_unit", "environment", "application_name", "owner_email"]
 
 
@@ -68,7 +70,7 @@ def tags_summary(t: Tables, clock: Clock, days: int = 30) -> DataFrame:
     ).drop("_p", "_d")
 
 
-def tags_by_adf(t: Tables, clock: Clock, days: int = 30, limit: int = 20) -> DataFrame:
+def tags_by_pipeline(t: Tables, clock: Clock, days: int = 30, limit: int = 20) -> DataFrame:
     """Runs, variety and outcome per calling pipeline; NULL is labelled after grouping."""
     check_range("days", days, 1, 90)
     check_range("limit", limit, 1, 100)
@@ -128,24 +130,33 @@ def tags_fill_defaults(t: Tables, fields: list[str] | None = None) -> DataFrame:
     return t.tags.withColumns(filled)
 
 
-def _rules(t: Tables, fields: list[str]) -> list[Row]:
-    """Active policies about ``fields``: a setting of at most one row per field, read by the driver."""
-    rows = (
-        t.policies.filter(F.col("is_active") & F.col("tag_key").isin(*fields))
-        .select("tag_key", "is_required", "allowed_values", "validation_regex")
-        .limit(len(fields) + 1)
-        .collect()
-    )
+def _rules(t: Tables, fields: list[str] | None) -> list[Row]:
+    """Active policies (about ``fields`` only, if given): a setting of one row per tag, read by the driver."""
+    policies = tags_policies(t, spark=t.tags.sparkSession)
+    if fields is not None:
+        policies = policies.filter(F.col("tag_key").isin(*fields))
+    rows = policies.select("tag_key", "is_required", "allowed_values", "validation_regex").limit(MOST_POLICIES + 1).collect()
+    if len(rows) > MOST_POLICIES:
+        raise ValueError(f"tag policies: more than {MOST_POLICIES} active rows")
     if len({row.tag_key for row in rows}) < len(rows):
         raise ValueError("tag policies: more than one active row for a tag")
     return rows
 
 
-def _violations(rules: list[Row]) -> Column:
+def _value(tags: DataFrame, key: str) -> Column:
+    """What a record says for a tag: its column of that name, else its custom tag, else NULL."""
+    if key in tags.columns and dict(tags.dtypes)[key] == "string":
+        return F.col(key)
+    if "custom_tags" in tags.columns:
+        return F.try_element_at("custom_tags", F.lit(key))
+    return F.lit(None).cast("string")
+
+
+def _violations(tags: DataFrame, rules: list[Row]) -> Column:
     """Array of the broken rules of a record, each with tag, value, rule and message."""
     found = []
     for policy in rules:
-        value = F.col(policy.tag_key)
+        value = _value(tags, policy.tag_key)
         empty = F.coalesce(value, F.lit("")) == ""
         quoted = F.concat(F.lit(f"Tag '{policy.tag_key}' value '"), value)
 
@@ -172,18 +183,15 @@ def _violations(rules: list[Row]) -> Column:
 def tags_validate(t: Tables, key: str = "correlation_id", fields: list[str] | None = None) -> DataFrame:
     """One row per violated rule of an active policy: missing, not_allowed or pattern.
 
-    A missing required value breaks that rule only; any other value may break both of the others.
-    Patterns are anchored at the start of the value.
+    Every active policy is applied, to a column, a custom tag or nothing (see ``_value``); ``fields`` restricts
+    them. A missing required value breaks that rule only; any other value may break both of the others. Patterns are
+    anchored at the start of the value.
     """
-    rules = _rules(t, TAG_FIELDS if fields is None else fields)
-    return t.tags.select(key, F.explode(_violations(rules)).alias("v")).select(key, "v.*")
+    rules = _rules(t, fields)
+    return t.tags.select(key, F.explode(_violations(t.tags, rules)).alias("v")).select(key, "v.*")
 
 
 def tags_validity(t: Tables, key: str = "correlation_id", fields: list[str] | None = None) -> DataFrame:
     """Per tag record whether it satisfies every policy, and the number of broken rules."""
-    rules = _rules(t, TAG_FIELDS if fields is None else fields)
-    return (
-        t.tags.groupBy(key)
-        .agg(F.sum(F.size(_violations(rules))).alias("errors"))
-        .withColumn("is_valid", F.col("errors") == 0)
-    )
+    errors = F.size(_violations(t.tags, _rules(t, fields))).cast("bigint")
+    return t.tags.select(key, errors.alias("errors")).withColumn("is_valid", F.col("errors") == 0)

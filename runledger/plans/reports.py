@@ -14,8 +14,8 @@ from runledger import fixed_values as V
 from runledger.clock import Clock, check_range
 from runledger.functions import pct, usd
 from runledger.operators import costs
-from runledger.operators.attribution import TAG_COLUMNS, WINDOW_DAYS, attribute_usage, attribution_totals, unmatched_rows
-from runledger.plans.views import summarize, weekly_trends
+from runledger.operators.attribution import TAG_COLUMNS, WINDOW_DAYS, attribute_usage, attributed_days, attribution_totals, note_days, unmatched_rows
+from runledger.plans.views import weekly_trends
 from runledger.sources.tables import Tables
 
 
@@ -26,23 +26,26 @@ def materialize(t: Tables, clock: Clock, path: str, days: int = WINDOW_DAYS) ->
     """
     attributed = attribute_usage(t, clock, days)
     attributed.hint("rebalance", F.col("usage_date")).write.mode("overwrite").partitionBy("usage_date").parquet(path)
-    return t.spark.read.schema(attributed.schema).parquet(path)
+    return note_days(t.spark.read.schema(attributed.schema).parquet(path), days)
 
 
 def _attributed(t: Tables, clock: Clock, days: int, attributed: DataFrame | None) -> DataFrame:
     if attributed is None:
-        return attribute_usage(t, clock, min(days, WINDOW_DAYS))
+        return attribute_usage(t, clock, days)
+    held = attributed_days(attributed)
+    if held is not None and held < days:
+        raise ValueError(f"attributed: holds {held} days of usage, {days} are needed")
     return attributed.filter(clock.on_dates(F.col("usage_date"), days))
 
 
 def costs_by_project(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     check_range("days", days, 1, 90)
-    return costs.roll_up_projects(summarize(_attributed(t, clock, days, attributed)))
+    return costs.roll_up_projects(_attributed(t, clock, days, attributed))
 
 
 def costs_by_department(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     check_range("days", days, 1, 90)
-    return costs.roll_up_departments(summarize(_attributed(t, clock, days, attributed)))
+    return costs.roll_up_departments(_attributed(t, clock, days, attributed))
 
 
 def costs_trends(t: Tables, clock: Clock, weeks: int = 8, attributed: DataFrame | None = None) -> DataFrame:
@@ -95,7 +98,7 @@ def costs_untagged_pct(t: Tables, clock: Clock, days: int = 30, attributed: Data
     )
 
 
-def correlation_by_adf(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
+def correlation_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     """Match counts per calling pipeline; usage without a tag record is one group."""
     check_range("days", days, 1, 90)
     is_match = F.col("correlation_status") == V.MATCHED
@@ -113,7 +116,7 @@ def correlation_by_adf(t: Tables, clock: Clock, days: int = 30, attributed: Data
     )
 
 
-def costs_by_adf(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
+def costs_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     """Cost and distinct runs per calling pipeline."""
     check_range("days", days, 1, 90)
     return (
