@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as V
@@ -124,8 +124,12 @@ def _tag_intervals(t: Tables, clock: Clock, profile: _Profile) -> DataFrame:
     """Tag records with a notebook, one row per time bucket they were running in, clipped to the usage."""
     start, end = F.col("run_start_time"), F.coalesce("run_end_time", clock.now())
     first, last = ntz(profile.first), ntz(profile.last)
+    log = t.tags
+    if "run_date" in log.columns:
+        # The stored log is partitioned by start date: later partitions need not be read.
+        log = log.filter(F.col("run_date") <= F.lit(profile.last.date()))
     return (
-        t.tags.filter(F.col("notebook_path").isNotNull() & (start <= last) & (end >= first) & (end >= start))
+        log.filter(F.col("notebook_path").isNotNull() & (start <= last) & (end >= first) & (end >= start))
         .withColumn("_tag_end", end)
         .withColumn("_tag_start", start)
         .withColumn("_tag_run", F.col("job_run_id"))
@@ -165,10 +169,20 @@ def _matched(t: Tables, usage: DataFrame, intervals: DataFrame, profile: _Profil
     return by_run.select(*columns).unionByName(by_notebook.select(*columns))
 
 
+def _merged(intervals: DataFrame) -> DataFrame:
+    """The times at which any record of a notebook was running: intervals that meet become one."""
+    starts = intervals.groupBy(*BY_NOTEBOOK, "_tag_start").agg(F.max("_tag_end").alias("_tag_end"))
+    earlier = Window.partitionBy(*BY_NOTEBOOK).orderBy("_tag_start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*BY_NOTEBOOK).orderBy("_tag_start").rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.coalesce((F.max("_tag_end").over(earlier) < F.col("_tag_start")).cast("int"), F.lit(1))
+    islands = starts.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(upto))
+    return islands.groupBy(*BY_NOTEBOOK, "_island").agg(F.min("_tag_start").alias("_tag_start"), F.max("_tag_end").alias("_tag_end")).drop("_island")
+
+
 def _unmatched(t: Tables, usage: DataFrame, intervals: DataFrame, profile: _Profile) -> DataFrame:
     known_runs = t.tags.select(*BY_RUN).filter("job_run_id IS NOT NULL").distinct()
     without_run = spread_join(usage, known_runs, BY_RUN, "left_anti", hot_left=profile.hot_runs)
-    covered = intervals.groupBy(*BY_NOTEBOOK, "_tag_start").agg(F.max("_tag_end").alias("_tag_end"))
+    covered = _merged(intervals)
     return spread_join(
         without_run.withColumn("_bucket", _bucket(F.col("usage_start_time"))),
         covered,

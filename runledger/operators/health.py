@@ -20,7 +20,7 @@ _DURATION = "execution_duration_seconds"
 
 
 def _by_name(t: Tables, reduced: DataFrame):
-    return with_job_name(t, reduced).groupBy(*NAMED_JOB)
+    return with_job_name(t, reduced, reduced=True).groupBy(*NAMED_JOB)
 
 
 def _failed_jobs(t: Tables, clock: Clock, days: int = 7, min_runs: int = 3) -> DataFrame:

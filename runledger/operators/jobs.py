@@ -16,10 +16,13 @@ from runledger.sources.tables import Tables
 JOB_KEY = ["job_id", "workspace_id"]
 
 
-def with_job_name(t: Tables, facts: DataFrame) -> DataFrame:
-    """Adds ``job_name`` and ``creator_user_name`` of the definition, NULL when there is none."""
+def with_job_name(t: Tables, facts: DataFrame, reduced: bool = False) -> DataFrame:
+    """Adds ``job_name`` and ``creator_user_name`` of the definition, NULL when there is none.
+
+    ``reduced`` facts are already counted per job, or a short list.
+    """
     names = t.jobs.select(*JOB_KEY, F.col("name").alias("job_name"), "creator_user_name")
-    return look_up(facts, names, JOB_KEY, t.jobs_fit)
+    return look_up(facts, names, JOB_KEY, t.jobs_fit, reduced)
 
 
 def recent_runs(t: Tables, clock: Clock, days: int) -> DataFrame:

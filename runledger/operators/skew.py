@@ -118,8 +118,11 @@ def spread_join(
     return left.join(renamed, reduce(and_, equal), how).drop(*helpers)
 
 
-def look_up(facts: DataFrame, dimension: DataFrame, on: list[str], fits: bool) -> DataFrame:
-    """Left join to a table with one row per key: broadcast when its size was checked, spread otherwise."""
+def look_up(facts: DataFrame, dimension: DataFrame, on: list[str], fits: bool, reduced: bool = False) -> DataFrame:
+    """Left join to a table with one row per key: broadcast when its size was checked, spread otherwise.
+
+    ``reduced`` says that no key of ``facts`` holds many rows, so that none needs to be looked for.
+    """
     if fits:
         return facts.join(F.broadcast(dimension), on, "left")
-    return spread_join(facts, dimension, on, "left")
+    return spread_join(facts, dimension, on, "left", hot_left={} if reduced else None)
