@@ -23,7 +23,7 @@ from runledger.llm.tokens import UnitEncoder, merges_by_rank, words
 CAPACITY = 2048
 SEPARATOR = 0
 # Ranks are counted in this many slices of a length at most, so that no length is one task.
-RANK_SLICES = 256
+RANK_SLICES = 32
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _RUNS = "length long, first_rank long, last_rank long, per_sequence long, first_sequence long, first_offset long"
 
