@@ -60,7 +60,7 @@ def test_conversations(spark):
             assert got[c].loss_chars == sum(len(r[3]) for r in own if r[2] == "assistant")
             assert got[c].formatted_chars == len(C.inst_template([(r[2], r[3]) for r in own]))
         assert got[7].turns_sha256 == sha("\n\nassistant\nb\nassistant\nb\n") and got[7].loss_chars == 2
-    assert digests(spark, rows[:1] * 0 or [rows[0]][:0] or [rows[0]])[0].n_turns == 1
+    assert digests(spark, rows[:1])[0].n_turns == 1
 
 
 def test_places(spark):

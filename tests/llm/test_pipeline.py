@@ -1,4 +1,4 @@
-"""Every stage of the pipeline against a plain version, on the smallest documents."""
+"""Every stage of the pipeline against a plain version, on a thousand documents."""
 
 import re
 
@@ -10,7 +10,7 @@ import corpus_pipeline as P
 from runledger.llm import quality, secret_scan
 from runledger.llm.tokens import load
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 
 
 def similar(rows, size, percent):
