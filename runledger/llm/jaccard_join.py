@@ -145,10 +145,16 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, _SETS).groupBy("id").agg(*first)
 
 
+def _low(percent: int) -> Column:
+    """A text's low tokens that are not frequent."""
+    return F.filter(F.slice("tokens", 1, F.col("cold").cast("int")), lambda t: t < low_limit(percent))
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n): of each text's prefix the tokens that another text has too.
+    """(token, id, n, early): of each text's prefix the tokens that another text has too.
 
-    Order of tokens: low ones by their number of texts, the others by hash, frequent ones last.
+    Order of tokens: low ones by their number of texts, the others by hash, frequent ones last. The first token that two
+    similar sets share is in the prefix of the larger and, ``early``, in a shorter prefix of the smaller one.
     """
     tier = F.when(F.col("at") >= F.col("cold"), 2).when(F.col("token") >= low_limit(percent), 1).otherwise(0)
     rows = sets.select("id", "cold", F.posexplode("tokens").alias("at", "token")).select("id", "token", tier.cast("byte").alias("tier"))
@@ -161,8 +167,11 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     prefix = n - F.floor((n * percent + 99) / 100) + 1
     # Tokens of this text alone come first.
     taken = F.greatest(prefix - (F.size("tokens") - F.size("shared")), F.lit(0)).cast("int")
-    cut = ranked.join(sets, "id").select("id", "n", F.slice("shared", F.lit(1), taken).alias("shared"))
-    return cut.select(F.explode("shared.token").alias("token"), "id", "n")
+    low = F.size(_low(percent)) - F.size(F.filter("shared", lambda t: t.tier == 0))
+    early = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1 - low
+    cut = ranked.join(sets, "id").select("id", "n", F.slice("shared", F.lit(1), taken).alias("shared"), early.alias("early"))
+    listed = cut.select("id", "n", "early", F.posexplode("shared.token").alias("at", "token"))
+    return listed.select("token", "id", "n", (F.col("at") < F.col("early")).alias("early"))
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -258,24 +267,28 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     known = connected_components(close)
     known = known.join(known.groupBy("component").agg(F.count("*").alias("weight")), "component")
     own = prefixes.join(known, F.col("id") == F.col("node"), "left").select(
-        "token", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight")
+        "token", "id", "n", "early", F.coalesce("component", "id").alias("component"), F.coalesce("weight", F.lit(1).cast("long")).alias("weight")
     )
     # Tokens of a single component can add nothing.
     same = Window.partitionBy("token")
     own = own.withColumn("several", F.min("component").over(same) < F.max("component").over(same)).filter("several").drop("several")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("weight") / GROUP))
     own = stored(own.withColumn("group", F.xxhash64("component", chunk)).withColumn("band", _band(F.col("n"), percent)), "open")
-    asked = own.select("token", "band", "group", F.col("component").alias("other"), F.col("weight").alias("other_weight")).distinct()
-    asking = own.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    asked = own.groupBy("token", "band", "group", F.col("component").alias("other"), F.col("weight").alias("other_weight")).agg(
+        F.max("early").alias("other_early")
+    )
+    asking = own.withColumn("step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("band", F.col("band") + F.col("step"))
+    # The token must be early in the smaller set; within a band either may be the smaller.
+    first_shared = F.when(F.col("step") > 0, F.col("early")).when(F.col("step") < 0, F.col("other_early")).otherwise(F.col("early") | F.col("other_early"))
     smaller = F.struct("weight", "component") < F.struct(F.col("other_weight").alias("weight"), F.col("other").alias("component"))
-    met = asking.drop("group").join(asked, ["token", "band"]).filter(smaller).select("id", "n", "group").distinct()
+    met = asking.drop("group").join(asked, ["token", "band"]).filter(smaller & first_shared).select("id", "n", "group").distinct()
     met = stored(met, "met")
 
     # The bound: of a query's low tokens that are not frequent no more may be missing from the group's union than the
     # threshold allows of all its tokens, against a member as small as any that it can reach.
     group_of = own.select("group", "id", "n").distinct()
     group_of = stored(group_of.join(met.select("group").distinct(), "group", "left_semi"), "members")
-    low = F.filter(F.slice("tokens", 1, F.col("cold").cast("int")), lambda t: t < low_limit(percent))
+    low = _low(percent)
     # A group has about GROUP members. Their tokens are told apart before they meet.
     held = group_of.join(sets.select("id", low.alias("low")), "id").groupBy("group")
     unions = held.agg(F.array_distinct(F.flatten(F.collect_list("low"))).alias("union"), F.min("n").alias("smallest"))
