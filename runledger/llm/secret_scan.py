@@ -176,7 +176,7 @@ def limits_of(counts: list[tuple[int, int, int, int]], false_share: float) -> di
         table[:, of, level] += ordinary, others
     ordinary, others = table.cumsum(2)
     expected = (ordinary + 1) / (ordinary[:, -1:] + 1) * others[:, -1:]
-    allowed = (others > 0) & (expected <= false_share * others)
+    allowed = (table[1] > 0) & (expected <= false_share * others)
     return {c: int(np.flatnonzero(row)[-1]) for c, row in enumerate(allowed) if row.any()}
 
 
