@@ -49,8 +49,11 @@ ENCODINGS = {
     "upper_base36": _DIGITS + _UPPER,
     "letters": _UPPER + _LOWER,
     "base62": _UPPER + _LOWER + _DIGITS,
-    "base64": _UPPER + _LOWER + _DIGITS + "+/-_",
+    "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64url": _UPPER + _LOWER + _DIGITS + "-_",
+    "base64_mixture": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
+_LARGEST = max(map(len, ENCODINGS.values()))
 _SPAN = "struct<kind:int,start:long,end:long>"
 _SCANNED = f"doc_id long, base array<{_SPAN}>, tested array<struct<start:long,end:long,length_class:int,level:int>>, ordinary array<int>"
 
@@ -94,7 +97,7 @@ def battery(strings: list[str], encodings: list[str]) -> np.ndarray:
     n = np.array([len(b) for b in bodies])
     first = np.cumsum(n) - n
     of = np.repeat(np.arange(len(n)), n)
-    counts = np.zeros((len(n), 64))
+    counts = np.zeros((len(n), _LARGEST))
     np.add.at(counts, (of, values.astype(int)), 1)
     expected = n / size
     chi = (counts**2).sum(1) / expected - n

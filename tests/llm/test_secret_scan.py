@@ -39,6 +39,24 @@ def test_inferred_encodings():
     ]
 
 
+def test_all_characters_of_candidates_can_be_tested():
+    strings = ["123e4567-e89b-12d3-a456-426614174000", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "release-notes-2024", "a+/b0123456789AB==", "a+/b_0123456789AB"]
+    encodings = [S.encoding_of(x) for x in strings]
+    assert encodings == ["base64url", "base64url", "base64url", "base64", "base64_mixture"]
+    p = S.battery(strings, encodings)
+    assert ((p >= 0) & (p <= 1)).all()
+    rnd = random.Random(3)
+    for name in encodings[2:]:
+        of_name = S.battery(["".join(rnd.choices(S.ENCODINGS[name], k=80)) for _ in range(800)], [name] * 800)
+        assert abs(np.mean(of_name < 0.5) - 0.5) < 0.08
+
+
+def test_texts_with_hyphens_and_underscores(spark):
+    rows = [(1, "id 123e4567-e89b-12d3-a456-426614174000 in release-notes-2024"), (2, "ghp_16C7e42F292c6912E7710c838347Ae178B4a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S.secrets(df).count() == 2 == S.redact(df).count()
+
+
 def test_false_share_bounds_the_level():
     # Twenty others at level 1; ordinary strings are there one time in a thousand, or half of the time.
     assert S.limits_of([(3, 1, 1, 20), (3, 50, 999, 0)], 0.05) == {3: 1}
