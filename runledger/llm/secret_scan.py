@@ -31,7 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SHORTEST_VALUE = 6
 
 # Strings to test, how many levels of -log10 p are told apart, and the expected share of false reports.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _LETTERS = re.compile(r"[^A-Za-z]+")
 LENGTH_CLASSES = (16, 20, 24, 32, 48)
 LEVELS = 100

@@ -57,6 +57,14 @@ def test_texts_with_hyphens_and_underscores(spark):
     assert S.secrets(df).count() == 2 == S.redact(df).count()
 
 
+def test_values_after_an_equals_sign_are_candidates():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    forms = ["AWS_KEY={}", "https://x.org/a?sig={}&b=1", "DB_PASS={}\n", "export X={}==\n", 'k="{}"', "k: {}", "a=={}"]
+    for form in forms:
+        text = form.format(key)
+        assert [text[a:b].rstrip("=") for a, b, _ in S._candidates(text) if key in text[a:b]] == [key], form
+
+
 def test_false_share_bounds_the_level():
     # Twenty others at level 1; ordinary strings are there one time in a thousand, or half of the time.
     assert S.limits_of([(3, 1, 1, 20), (3, 50, 999, 0)], 0.05) == {3: 1}
