@@ -1,10 +1,13 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one representative per group.
 
-Equal vectors of a label are one class and are compared once. Centres are fitted on a bounded sample. Every class has a
-home cell, that of the nearest centre, and visits the next cells whose centres are almost as near, so pairs across a
-border are found too. A cell is cut into blocks of a bounded number of classes; each pair of blocks is one matrix
-product in double precision. Blocks report how many vectors each vector links with, and ties that connect the linked
-ones, never the pairs. A pair is counted in one cell only.
+Equal vectors of a label are one class and are compared once. Centres are fitted on a bounded sample; those nearer to each
+other than two linking angles are one, so a tight group stays in a cell. Every class has a home cell, that of the nearest
+centre, and visits every cell that can be home to a class that links with it and is not farther from its own centre. Of
+two classes that link, the one farther from its centre therefore visits the other's home, and is counted there: by the
+triangle inequality its angle to that centre is at most its own home angle and the linking angle, and it is no farther
+than the linking angle from the border between the two cells. All pairs are found whatever the centres are. A cell is
+cut into blocks of a bounded number of classes; each pair of blocks is one matrix product in double precision. Blocks
+report how many vectors each vector links with, and ties that connect the linked ones, never the pairs.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from runledger.llm.storage import stored
 COSINE = 0.98
 # Vectors that centres are fitted on, classes per centre that are aimed at, and centres, at most.
 SAMPLE, CELL, CENTRES, ROUNDS = 20_000, 2_000, 1_024, 12
-# Cells that a vector is compared in, and how much farther than the home centre (in radians) a visited one may be.
-VISITS, MARGIN = 3, 0.12
 BLOCK = 1_024
+# Added to bounds against rounding, and rows that are placed at a time.
+SLACK, PLACED = 1e-6, 1_024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -69,24 +72,51 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "vec_id long, label string, key binary, vector array<double>")
 
 
-def _cells(classes: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """Adds the home cell (first) and the visited cells of each class."""
+def linking_angle(cosine: float) -> float:
+    return float(np.arccos(np.clip(cosine, -1, 1)))
+
+
+def merged(centres: np.ndarray, cosine: float) -> np.ndarray:
+    """Centres of which no two are within two linking angles; an earlier centre stands for later ones."""
+    near = centres @ centres.T >= np.cos(min(np.pi, 2 * linking_angle(cosine)))
+    kept: list[int] = []
+    for i in range(len(centres)):
+        if not near[i, kept].any():
+            kept.append(i)
+    return centres[kept]
+
+
+def visits(x: np.ndarray, centres: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cell and home angle of unit vectors, and which other cells each has to visit."""
+    reach = linking_angle(cosine)
+    near = np.clip(x @ centres.T, -1, 1)
+    home, every = near.argmax(1), np.arange(len(x))
+    angle = np.arccos(near[every, home])
+    visited = np.arccos(near) <= angle[:, None] + reach + SLACK
+    if reach < np.pi / 2:
+        # The sine of the angle to the border between two cells is the difference of the cosines over the centres' distance.
+        apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+        visited &= near[every, home][:, None] - near <= np.sin(reach) * apart[home] + SLACK
+    visited[every, home] = False
+    return home, angle, visited
+
+
+def _cells(classes: DataFrame, centres: dict[int, np.ndarray], cosine: float) -> DataFrame:
+    """Adds the angle to the home centre, and the home cell (first) and the visited cells of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = []
-            for v in batch.column("vector").to_pylist():
-                c = centres.get(len(v))
-                if c is None:
-                    cells.append([0])
-                    continue
-                near = c @ (np.array(v) / np.linalg.norm(v))
-                order = np.argsort(-near, kind="stable")[:VISITS]
-                angle = np.arccos(np.clip(near[order], -1, 1))
-                cells.append(order[angle <= angle[0] + MARGIN].tolist())
-            yield batch.append_column("cells", pa.array(cells, pa.list_(pa.int32())))
+        for part in (batch.slice(i, PLACED) for batch in batches for i in range(0, batch.num_rows, PLACED)):
+            vectors = part.column("vector").to_pylist()
+            angles, cells = np.zeros(len(vectors)), [[0] for _ in vectors]
+            sizes = np.array([len(v) for v in vectors])
+            for dimension in set(sizes.tolist()) & set(centres):
+                own = np.flatnonzero(sizes == dimension)
+                home, angles[own], visited = visits(unit(np.array([vectors[i] for i in own])), centres[dimension], cosine)
+                for i, h, row in zip(own, home, visited, strict=True):
+                    cells[i] = [int(h), *np.flatnonzero(row).tolist()]
+            yield part.append_column("angle", pa.array(angles)).append_column("cells", pa.array(cells, pa.list_(pa.int32())))
 
-    return classes.mapInArrow(run, "id long, label string, size long, vector array<double>, cells array<int>")
+    return classes.mapInArrow(run, "id long, label string, size long, vector array<double>, angle double, cells array<int>")
 
 
 def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -102,12 +132,9 @@ def _compare(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     if alone:
         np.fill_diagonal(linked, False)
     elif right.visiting.any():
-        # Two cells may both see a pair: the visit of the smaller id counts, or the only one there is.
-        home, cell = right.home.to_numpy(), rows.cell.iloc[0]
-        for j in np.flatnonzero(linked.any(0)):
-            back = np.array([home[j] in cells for cells in left.cells])
-            linked[:, j] &= ~back | (right.id.iloc[j] < left.id.to_numpy())
-        assert (left.home == cell).all()
+        # Two cells may both see a pair: the visit of the class farther from its home centre counts, then of the larger id.
+        at_home, guest = left.angle.to_numpy()[:, None], right.angle.to_numpy()
+        linked &= (guest > at_home) | ((guest == at_home) & (right.id.to_numpy() > left.id.to_numpy()[:, None]))
     ids_a, ids_b = left.id.to_numpy(), right.id.to_numpy()
     links = [pd.DataFrame({"id": ids_a, "links": linked @ right["size"].to_numpy()})]
     if not alone:
@@ -141,7 +168,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     zero or holds NULL or non-finite values links with nothing, as does one of another dimension. n_links counts the other rows
     linked with directly, component_id is the smallest vec_id reachable by links, and the row of that id is kept. Rows that
     repeat a vec_id are rows of their own and are kept or dropped alike; a NULL vec_id is never kept if linked, and has a
-    NULL component_id if alone. Pairs are searched in cells, so a pair may be missed but none is invented.
+    NULL component_id if alone. Pairs are searched in cells that together see every pair that links.
     """
     rows = stored(_classes(vectors), "vectors")
     same = ["label", "key"]
@@ -155,11 +182,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     for dimension, k in wanted.items():
         if k > 1:
             sample = classes.filter(F.size("vector") == dimension).orderBy(F.xxhash64("key"), "id").limit(SAMPLE).select("vector").toPandas()
-            centres[dimension] = fit_centres(np.stack(sample.vector.to_list()), k)
-    placed = stored(_cells(classes.select("id", "label", "size", "vector"), centres), "cells")
+            centres[dimension] = merged(fit_centres(np.stack(sample.vector.to_list()), k), cosine)
+    placed = stored(_cells(classes.select("id", "label", "size", "vector"), centres, cosine), "cells")
 
     cell = ["label", "dimension", "cell"]
-    spots = placed.withColumn("dimension", F.size("vector")).select("*", F.posexplode("cells").alias("visit", "cell")).withColumn("home", F.col("cells")[0])
+    spots = placed.withColumn("dimension", F.size("vector")).select("*", F.posexplode("cells").alias("visit", "cell"))
     counts = spots.groupBy(*cell).agg(
         F.ceil(F.count_if(F.col("visit") == 0) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("visit") > 0) / BLOCK).cast("int").alias("guests")
     )
@@ -174,7 +201,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         .select(
             *cell, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
             (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("alone"),
-            visiting.alias("visiting"), "home", "cells", "id", "size", "vector",
+            visiting.alias("visiting"), "angle", "id", "size", "vector",
         )
     )
     compared = tasks.groupBy(*cell, "one", "two").applyInPandas(lambda rows: _compare(rows, cosine), "id long, links long, tie long")

@@ -71,6 +71,32 @@ def test_cells_and_blocks(spark, monkeypatch, blocks):
         assert got == want
 
 
+def hot(n, seed):
+    """A third of the vectors is one group with a mean cosine of about 0.985; others are near pairs and single ones."""
+    rng = np.random.default_rng(seed)
+    x = E.unit(rng.normal(size=(n, 24)))
+    x[: n // 3] = E.unit(x[0] + rng.normal(size=(n // 3, 24)) * 0.0255)
+    x[-n // 4 :] = E.unit(x[-n // 2 : -n // 4] + rng.normal(size=(n // 4, 24)) * rng.uniform(0.01, 0.06, size=(n // 4, 1)))
+    return x
+
+
+def test_all_links_of_a_hot_group_over_many_centres(spark, monkeypatch):
+    monkeypatch.setattr(E, "CELL", 20)
+    monkeypatch.setattr(E, "BLOCK", 100)
+    rows = [(i, [float(c) for c in np.float32(v)], 0) for i, v in enumerate(hot(1200, 5))]
+    assert run(spark, rows) == plain(rows)
+
+
+@pytest.mark.parametrize("cosine", [0.98, 0.8, 0.3, -0.2])
+def test_the_farther_of_two_linked_vectors_visits_the_home_of_the_other(cosine):
+    x = hot(1500, 6)
+    for centres in (E.fit_centres(x, 60), E.merged(E.fit_centres(x, 60), cosine)):
+        home, angle, visited = E.visits(x, centres, cosine)
+        a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+        a, b = np.where(angle[a] >= angle[b], a, b), np.where(angle[a] >= angle[b], b, a)
+        assert len(a) and ((home[a] == home[b]) | visited[a, home[b]]).all()
+
+
 def test_filter(spark):
     rows = spark.createDataFrame([(1, [1.0], 0, "a"), (2, [1.0], 0, "b"), (3, [1.0], 1, "c")], "vec_id long, embedding array<float>, label int, kept string")
     assert sorted(r.kept for r in E.drop_near_vectors(rows).collect()) == ["a", "c"]
