@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, namely on the pieces of words
-that are much commoner in toxic documents. Each window of a few words is compressed with the ordinary dictionary alone
-and with the toxic one in front of it; how many bytes the toxic dictionary saves is the window's distance. Distances
-are turned into evidence by how often they occur in toxic and in other documents, and a document's evidence into a
+One zstandard dictionary is trained, on windows of ordinary text. The toxic one is not: it is the list of the beginnings of
+words that are much commoner in toxic documents, joined as they are. Each window of a few words is compressed with the
+ordinary dictionary alone and with the toxic list in front of it; how many bytes the list saves is the window's distance.
+A toxic document saves nothing if each of its words is rare among toxic documents, or if only phrases of common words
+make it toxic. A dictionary trained on windows of toxic text scores far worse (figures in the README). Distances are turned into evidence by how often they occur in toxic and in other documents, and a document's evidence into a
 calibrated probability. Dictionaries and calibration learn from separate halves of a bounded sample.
 """
 
