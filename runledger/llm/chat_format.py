@@ -5,9 +5,10 @@ of a conversation are rendered, and what each turn adds is the difference of con
 not begin with the one before, the template rewrites history, and the turn is marked. Where a text lies within its
 turn is found by rendering the turn with two probe texts.
 
-A conversation is rendered in segments of at most ``SEGMENT`` turns, each with the turn before it, so the work grows with
-the length of a conversation and not with its square. Whether a turn looks the same with only the turn before it as
-context is checked for every turn; a template that looks further back is marked as well where that matters.
+Every turn is rendered with its whole history, so the work grows with the square of a conversation's length. Only a
+``TurnTemplate``, which is the concatenation of its turns by construction, is rendered in segments of at most ``SEGMENT``
+turns, each with the turn before it; its work grows with the length. Whether a turn looks the same with only the turn
+before it as context is checked for every turn that has more; a template that looks further back is marked as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import groupby
 from os.path import commonprefix
 
@@ -46,18 +48,27 @@ def unescape(text: str) -> str:
     return _UNESCAPED.sub(r"\1", text)
 
 
-def inst_template(messages: list[tuple[str, str]]) -> str:
+@dataclass(frozen=True)
+class TurnTemplate:
+    """A template that joins what ``turn`` gives for each (role, text) alone."""
+
+    turn: Callable[[str, str], str]
+
+    def __call__(self, messages: list[tuple[str, str]]) -> str:
+        return "".join(self.turn(role, text) for role, text in messages)
+
+
+def _inst_turn(role: str, text: str) -> str:
     """[INST] ... [/INST] around user texts, </s> after assistant texts, [ROLE:...] for all other roles."""
-    out = []
-    for role, text in messages:
-        body = escape(text)
-        if role == "user":
-            out.append(f"[INST] {body} [/INST]")
-        elif role == "assistant":
-            out.append(f" {body} </s>")
-        else:
-            out.append(f"[ROLE:{escape(role)}[:] {body} [/ROLE]")
-    return "".join(out)
+    body = escape(text)
+    if role == "user":
+        return f"[INST] {body} [/INST]"
+    if role == "assistant":
+        return f" {body} </s>"
+    return f"[ROLE:{escape(role)}[:] {body} [/ROLE]"
+
+
+inst_template = TurnTemplate(_inst_turn)
 
 
 def parse_turns(formatted: str) -> list[tuple[str, str]]:
@@ -110,8 +121,10 @@ def format_conversations(turns: DataFrame, template: Template = inst_template, s
     of a turn of ``loss_role`` in code points of the whole conversation, and are NULL for others and for rewritten turns.
     Rows are ordered by turn (NULL first), then role and text, so repeated turns stay as turns of their own. NULL
     text and role count as empty; rows with a NULL conv_id are one conversation. Other columns are ignored. A
-    conversation is read in order by one task, a segment at a time. Rows stay in order within partitions.
+    conversation is read in order by one task, a segment at a time; unless ``template`` is a TurnTemplate, the task holds its
+    history and renders it with every turn. Rows stay in order within partitions.
     """
+    local = isinstance(template, TurnTemplate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -134,7 +147,7 @@ def format_conversations(turns: DataFrame, template: Template = inst_template, s
                     masked = role == loss_role and not rewritten
                     out.append((conv_id, number, role, added, at, at + a if masked else None, at + b if masked else None, rewritten))
                     at, number, held = at + len(added), number + 1, held + len(added)
-                seen = messages[-1:]
+                seen = messages[-1:] if local else seen + messages
                 if held > 1_000_000:
                     yield done(out)
                     out, held = [], 0

@@ -74,6 +74,31 @@ def test_places(spark):
             assert C.unescape(whole[r.loss_start : r.loss_end]) == rows[r.turn_no][3]
 
 
+def test_black_box_templates_see_the_whole_history(spark):
+    def looks_back(messages):
+        return "".join(f"{i}:{text};" for i, (_, text) in enumerate(messages))
+
+    def moves_system(messages):
+        system = "".join(text for role, text in messages if role == "system")
+        last = max((i for i, (role, _) in enumerate(messages) if role == "user"), default=-1)
+        return "".join(f"<{system}>{text};" if i == last else f"{text};" for i, (role, text) in enumerate(messages) if role != "system")
+
+    def keeps_seventy(messages):
+        return "".join(f"{text};" for _, text in messages[-70:])
+
+    messages = [("system", "be kind"), *((("user", "assistant")[t % 2], f"turn {t}") for t in range(139))]
+    df = spark.createDataFrame([(1, t, *m) for t, m in enumerate(messages)], "conv_id long, turn long, role string, text string")
+    got = {f.__name__: sorted(C.format_conversations(df, f).collect(), key=lambda r: r.turn_no) for f in (looks_back, moves_system, keeps_seventy)}
+    assert [r.formatted for r in got["looks_back"]] == [f"{i}:{text};" for i, (_, text) in enumerate(messages)]
+    assert [r.rewritten for r in got["looks_back"]] == [i > 1 for i in range(140)]
+    # Every user turn after the first takes the system text away from the one before.
+    assert all(r.rewritten and "be kind" in r.formatted for r in got["moves_system"][2:] if r.role == "user")
+    assert [r.turn_no for r in got["keeps_seventy"] if r.rewritten] == list(range(70, 140))
+    for f in (looks_back, moves_system, keeps_seventy):
+        spans = C.turn_spans(f, messages, [])
+        assert [(r.formatted, r.rewritten) for r in got[f.__name__]] == [(s[0], s[3]) for s in spans]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.conversation_digests(C.format_conversations(empty)).count() == 0
