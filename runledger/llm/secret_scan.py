@@ -2,16 +2,15 @@
 
 Long strings without white space are tested for randomness over the alphabet of their inferred encoding:
 chi-squared uniformity of the characters, number of runs above and below the middle, and serial correlation of
-neighbours, combined into one p-value (Fisher). Every document also gives ordinary strings, the letters of a stretch of
-its text, one for each length class; they tell how often text that is no secret looks that random. Within each length
-class the Benjamini-Hochberg rule on these empirical p-values sets the level from which strings are reported, so short
-strings need stronger evidence than long ones.
+neighbours, combined into one p-value (Fisher). Every document also gives ordinary strings: the rest of its text, all of
+it, cut into stretches of each length class; they tell how often text that is no secret looks that random. Within each
+length class the Benjamini-Hochberg rule on these empirical p-values sets the level from which strings are reported, so
+short strings need stronger evidence than long ones.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -32,9 +31,10 @@ SHORTEST_VALUE = 6
 
 # Strings to test, how many levels of -log10 p are told apart, and the expected share of false reports.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_LETTERS = re.compile(r"[^A-Za-z]+")
 LENGTH_CLASSES = (16, 20, 24, 32, 48)
 LEVELS = 100
+# Ordinary strings that are tested at a time.
+ROWS = 20_000
 FALSE_SHARE = 0.01
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -54,8 +54,10 @@ ENCODINGS = {
     "base64_mixture": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
 _LARGEST = max(map(len, ENCODINGS.values()))
+_NO_LETTERS = bytes(set(range(256)) - set((_LOWER + _UPPER).encode()))
 _SPAN = "struct<kind:int,start:long,end:long>"
-_SCANNED = f"doc_id long, base array<{_SPAN}>, tested array<struct<start:long,end:long,length_class:int,level:int>>, ordinary array<int>"
+_COUNT = "struct<length_class:int,level:int,n:long>"
+_SCANNED = f"doc_id long, base array<{_SPAN}>, tested array<struct<start:long,end:long,length_class:int,level:int>>, ordinary array<{_COUNT}>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -99,26 +101,45 @@ def battery(strings: list[str], encodings: list[str]) -> np.ndarray:
     of = np.repeat(np.arange(len(n)), n)
     counts = np.zeros((len(n), _LARGEST))
     np.add.at(counts, (of, values.astype(int)), 1)
-    expected = n / size
-    chi = (counts**2).sum(1) / expected - n
-    p_uniform = _chi_tail(chi, size - 1.0)
     inner = np.ones(len(values), bool)
     inner[first] = False
     sides = values * 2 >= (size - 1)[of]
     high = np.add.reduceat(sides.astype(float), first)
-    low = n - high
     runs = 1 + np.add.reduceat((inner & (sides != np.roll(sides, 1))).astype(float), first)
+    centred = values - (np.add.reduceat(values, first) / n)[of]
+    energy = np.add.reduceat(centred**2, first)
+    cross = np.add.reduceat(centred * np.roll(centred, 1) * inner, first)
+    return _combined(n, size, (counts**2).sum(1), high, runs, energy, cross)
+
+
+def _combined(n, size, squares, high, runs, energy, cross) -> np.ndarray:
+    """Fisher's p from the tests' statistics: squared character counts, places in the upper half, runs, (co)variation."""
+    p_uniform = _chi_tail(squares / (n / size) - n, size - 1.0)
+    low = n - high
     mean = 1 + 2 * high * low / n
     spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9))
     p_runs = np.where(np.minimum(high, low) > 0, 2 * _normal_tail(np.abs(runs - mean) / spread), 2.0 ** (1 - n))
-    centred = values - (np.add.reduceat(values, first) / n)[of]
-    energy = np.add.reduceat(centred**2, first)
-    serial = np.add.reduceat(centred * np.roll(centred, 1) * inner, first) / np.maximum(energy, 1e-9)
+    serial = cross / np.maximum(energy, 1e-9)
     p_serial = np.where(energy > 0, 2 * _normal_tail(np.abs(serial + 1 / n) * np.sqrt(n)), 0.0)
     fisher = -2 * sum(np.log(np.clip(p, 1e-300, 1)) for p in (p_uniform, p_runs, p_serial))
     return _chi_tail(fisher, np.full(len(n), 6.0))
 
 
+def rows_battery(places: np.ndarray, size: int) -> np.ndarray:
+    """``battery`` for rows of equal length, given as places in an alphabet of ``size`` characters."""
+    m, length = places.shape
+    counts = np.bincount((places + np.arange(m, dtype=np.int32)[:, None] * size).ravel(), minlength=m * size).reshape(m, size)
+    squares = np.einsum("ij,ij->i", counts, counts).astype(float)
+    sides = places * 2 >= size - 1
+    runs = 1.0 + (sides[:, 1:] != sides[:, :-1]).sum(1)
+    total = places.sum(1).astype(float)
+    mean = total / length
+    energy = np.einsum("ij,ij->i", places, places) - total * mean
+    ends = places[:, 0] + places[:, -1]
+    cross = np.einsum("ij,ij->i", places[:, 1:], places[:, :-1]) - mean * (2 * total - ends) + (length - 1) * mean**2
+    return _combined(np.full(m, length), np.full(m, size), squares, sides.sum(1).astype(float), runs, energy, cross)
+
+
 def _mixed(string: str) -> bool:
     """Strings that can be secrets: with letters and digits."""
     return any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
@@ -128,20 +149,26 @@ def _candidates(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), m[0]) for m in CANDIDATE.finditer(text) if _mixed(m[0])]
 
 
-def _ordinary(text: str) -> list[str]:
-    """For each length class that many letters of the text in a row, from a place that the text itself decides."""
+def _ordinary(texts: list[str]) -> list[dict]:
+    """How many stretches of the texts' letters, candidates left out, have each level in each length class."""
+    letters = [CANDIDATE.sub(" ", text).encode("ascii", "ignore").translate(None, _NO_LETTERS).lower() for text in texts]
     found = []
-    for length in LENGTH_CLASSES:
-        start = zlib.crc32(text[:64].encode("utf-8", "replace")) % max(1, len(text) - 3 * length)
-        letters = _LETTERS.sub("", text[start : start + 3 * length]).lower()[:length]
-        found.append(letters if len(letters) == length else "")
+    for of, length in enumerate(LENGTH_CLASSES):
+        joined = np.frombuffer(b"".join(x[: len(x) // length * length] for x in letters), np.uint8).reshape(-1, length)
+        counts = np.zeros(LEVELS, np.int64)
+        for i in range(0, len(joined), ROWS):
+            counts += np.bincount(_levels(rows_battery(joined[i : i + ROWS].astype(np.int32) - ord("a"), 26)), minlength=LEVELS)
+        found += [{"length_class": of, "level": int(level), "n": int(counts[level])} for level in np.flatnonzero(counts)]
     return found
 
 
+def _levels(p: np.ndarray) -> np.ndarray:
+    return np.minimum(-np.log10(np.clip(p, 1e-300, 1)) * (LEVELS / 20), LEVELS - 1).astype(int)
+
+
 def levels(strings: list[str], encodings: list[str]) -> list[int]:
     """Levels of -log10 p: 0 for a p-value near 1, the last for 1e-20 or less; higher is less random."""
-    p = np.clip(battery(strings, encodings), 1e-300, 1)
-    return np.minimum(-np.log10(p) * (LEVELS / 20), LEVELS - 1).astype(int).tolist()
+    return _levels(battery(strings, encodings)).tolist()
 
 
 def length_class(string: str) -> int:
@@ -151,6 +178,7 @@ def length_class(string: str) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length_class", pa.int32()), ("level", pa.int32())])
+    count = pa.struct([("length_class", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])
     for part in (part for batch in batches for part in slices(batch)):
         texts = texts_of(part)
         strings = [(i, *found) for i, text in enumerate(texts) for found in _candidates(text)]
@@ -158,13 +186,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = levels([s[3] for s in strings], [encoding_of(s[3]) for s in strings])
         for (i, a, b, s), level in zip(strings, at, strict=True):
             tested[i].append({"start": a, "end": b, "length_class": length_class(s), "level": level})
-        plain = [s for text in texts for s in _ordinary(text)]
-        known = [s for s in plain if s]
-        found = iter(levels(known, ["lower"] * len(known)))
-        ordinary = np.array([next(found) if s else -1 for s in plain], np.int32)
+        # The counts of all texts of the slice, on its first row.
+        ordinary = [_ordinary(texts), *[[]] * (len(texts) - 1)]
         base = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(text)] for text in texts]
-        offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(LENGTH_CLASSES)
-        columns = [part.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(tested, pa.list_(item)), pa.ListArray.from_arrays(offsets, pa.array(ordinary))]
+        columns = [part.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(tested, pa.list_(item)), pa.array(ordinary, pa.list_(count))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "tested", "ordinary"])
 
 
@@ -187,8 +212,8 @@ def _limits(scanned: DataFrame, false_share: float) -> dict[int, int]:
     """At most LENGTH_CLASSES * LEVELS counts go to the driver."""
     one = F.lit(1).cast("long")
     others = scanned.select(F.explode("tested").alias("t")).select("t.length_class", "t.level", (one - one).alias("ordinary"), one.alias("others"))
-    plain = scanned.select(F.posexplode("ordinary").alias("length_class", "level")).filter("level >= 0")
-    both = plain.select("length_class", "level", one.alias("ordinary"), (one - one).alias("others")).unionByName(others)
+    plain = scanned.select(F.explode("ordinary").alias("o")).select("o.length_class", "o.level", F.col("o.n").alias("ordinary"), (one - one).alias("others"))
+    both = plain.unionByName(others)
     counts = both.groupBy("length_class", "level").agg(F.sum("ordinary"), F.sum("others"))
     return limits_of([tuple(r) for r in counts.collect()], false_share)
 

@@ -65,6 +65,36 @@ def test_values_after_an_equals_sign_are_candidates():
         assert [text[a:b].rstrip("=") for a, b, _ in S._candidates(text) if key in text[a:b]] == [key], form
 
 
+def test_rows_of_equal_length_have_the_same_p_values():
+    rnd = random.Random(4)
+    for name in ("lower", "decimal", "base64_mixture"):
+        alphabet = S.ENCODINGS[name]
+        strings = ["".join(rnd.choices(alphabet[: rnd.randint(1, len(alphabet))], k=24)) for _ in range(300)]
+        rows = np.array([[alphabet.index(c) for c in x] for x in strings], np.int32)
+        np.testing.assert_allclose(S.rows_battery(rows, len(alphabet)), S.battery(strings, [name] * 300), rtol=1e-6, atol=1e-12)
+
+
+def test_ordinary_strings_are_all_of_the_text():
+    text = "Many words, as they are. " * 1000 + "kq7Zx0pLw9Tt3Vb8Ny2R" * 500
+    letters = 18 * 1000
+    for parts in ([text], [text[: 25 * 600], text[25 * 600 :]]):
+        counts = S._ordinary(parts)
+        for of, length in enumerate(S.LENGTH_CLASSES):
+            assert 0 <= letters // length - sum(c["n"] for c in counts if c["length_class"] == of) <= 1
+
+
+def test_random_strings_of_few_long_texts_are_found(spark):
+    rnd = random.Random(5)
+    words = ["the", "and", "tion", "there", "other", "nothing", "in", "of"]
+    chars = S.ENCODINGS["base62"]
+    secrets = ["".join(rnd.choices(chars, k=60)) for _ in range(60)]
+    texts = [" ".join(" ".join(rnd.choices(words, k=400)) + " " + x for x in secrets[i::3]) for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [texts[r.doc_id][s.start : s.end] for r in S.secrets(df).collect() for s in r.spans if s.kind == 3]
+    assert set(found) <= set(secrets) and len(found) > 45
+    assert sum("<secret>" in r.text for r in S.redact(df).collect()) == 3
+
+
 def test_false_share_bounds_the_level():
     # Twenty others at level 1; ordinary strings are there one time in a thousand, or half of the time.
     assert S.limits_of([(3, 1, 1, 20), (3, 50, 999, 0)], 0.05) == {3: 1}
