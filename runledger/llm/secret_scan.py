@@ -3,9 +3,11 @@
 Long strings without white space are tested for randomness over the alphabet of their inferred encoding:
 chi-squared uniformity of the characters, number of runs above and below the middle, and serial correlation of
 neighbours, combined into one p-value (Fisher). Every document also gives ordinary strings: the rest of its text, all of
-it, cut into stretches of each length class; they tell how often text that is no secret looks that random. Within each
-length class the Benjamini-Hochberg rule on these empirical p-values sets the level from which strings are reported, so
-short strings need stronger evidence than long ones.
+it, cut into stretches of each length class; they tell how often text that is no secret looks that random. Strings of
+digits are held against the digits of the texts, all others against their letters: the same letters look less random in
+any larger alphabet. Within each encoding and length class the Benjamini-Hochberg rule on these empirical p-values sets
+the level from which strings are reported, so short strings need stronger evidence than long ones, and glued words, which
+are tested too, look as random as the letters they are held against.
 """
 
 from __future__ import annotations
@@ -54,10 +56,13 @@ ENCODINGS = {
     "base64_mixture": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
 _LARGEST = max(map(len, ENCODINGS.values()))
-_NO_LETTERS = bytes(set(range(256)) - set((_LOWER + _UPPER).encode()))
+NAMES = list(ENCODINGS)
+CLASSES = len(NAMES) * len(LENGTH_CLASSES)
+# Encodings that ordinary strings are tested in, and the bytes that are left out for each.
+ORDINARY = {"decimal": bytes(set(range(256)) - set(_DIGITS.encode())), "lower": bytes(set(range(256)) - set((_LOWER + _UPPER).encode()))}
 _SPAN = "struct<kind:int,start:long,end:long>"
-_COUNT = "struct<length_class:int,level:int,n:long>"
-_SCANNED = f"doc_id long, base array<{_SPAN}>, tested array<struct<start:long,end:long,length_class:int,level:int>>, ordinary array<{_COUNT}>"
+_COUNT = "struct<encoding:int,length_class:int,level:int,n:long>"
+_SCANNED = f"doc_id long, base array<{_SPAN}>, tested array<struct<start:long,end:long,class:int,level:int>>, ordinary array<{_COUNT}>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -140,25 +145,23 @@ def rows_battery(places: np.ndarray, size: int) -> np.ndarray:
     return _combined(np.full(m, length), np.full(m, size), squares, sides.sum(1).astype(float), runs, energy, cross)
 
 
-def _mixed(string: str) -> bool:
-    """Strings that can be secrets: with letters and digits."""
-    return any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
-
-
 def _candidates(text: str) -> list[tuple[int, int, str]]:
-    return [(*m.span(), m[0]) for m in CANDIDATE.finditer(text) if _mixed(m[0])]
+    return [(*m.span(), m[0]) for m in CANDIDATE.finditer(text)]
 
 
 def _ordinary(texts: list[str]) -> list[dict]:
-    """How many stretches of the texts' letters, candidates left out, have each level in each length class."""
-    letters = [CANDIDATE.sub(" ", text).encode("ascii", "ignore").translate(None, _NO_LETTERS).lower() for text in texts]
+    """How many stretches of the texts' digits and letters, candidates left out, have each level in each length class."""
+    rest = [CANDIDATE.sub(" ", text).encode("ascii", "ignore").lower() for text in texts]
     found = []
-    for of, length in enumerate(LENGTH_CLASSES):
-        joined = np.frombuffer(b"".join(x[: len(x) // length * length] for x in letters), np.uint8).reshape(-1, length)
-        counts = np.zeros(LEVELS, np.int64)
-        for i in range(0, len(joined), ROWS):
-            counts += np.bincount(_levels(rows_battery(joined[i : i + ROWS].astype(np.int32) - ord("a"), 26)), minlength=LEVELS)
-        found += [{"length_class": of, "level": int(level), "n": int(counts[level])} for level in np.flatnonzero(counts)]
+    for name, left_out in ORDINARY.items():
+        bodies, size, start = [x.translate(None, left_out) for x in rest], len(ENCODINGS[name]), ord(ENCODINGS[name][0])
+        for of, length in enumerate(LENGTH_CLASSES):
+            joined = np.frombuffer(b"".join(x[: len(x) // length * length] for x in bodies), np.uint8).reshape(-1, length)
+            counts = np.zeros(LEVELS, np.int64)
+            for i in range(0, len(joined), ROWS):
+                counts += np.bincount(_levels(rows_battery(joined[i : i + ROWS].astype(np.int32) - start, size)), minlength=LEVELS)
+            at = {"encoding": NAMES.index(name), "length_class": of}
+            found += [{**at, "level": int(level), "n": int(counts[level])} for level in np.flatnonzero(counts)]
     return found
 
 
@@ -175,17 +178,21 @@ def length_class(string: str) -> int:
     return bisect_right(LENGTH_CLASSES, len(string)) - 1
 
 
+def class_of(string: str) -> int:
+    return NAMES.index(encoding_of(string)) * len(LENGTH_CLASSES) + length_class(string)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length_class", pa.int32()), ("level", pa.int32())])
-    count = pa.struct([("length_class", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])
+    item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("level", pa.int32())])
+    count = pa.struct([("encoding", pa.int32()), ("length_class", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])
     for part in (part for batch in batches for part in slices(batch)):
         texts = texts_of(part)
         strings = [(i, *found) for i, text in enumerate(texts) for found in _candidates(text)]
         tested: list[list[dict]] = [[] for _ in texts]
         at = levels([s[3] for s in strings], [encoding_of(s[3]) for s in strings])
         for (i, a, b, s), level in zip(strings, at, strict=True):
-            tested[i].append({"start": a, "end": b, "length_class": length_class(s), "level": level})
+            tested[i].append({"start": a, "end": b, "class": class_of(s), "level": level})
         # The counts of all texts of the slice, on its first row.
         ordinary = [_ordinary(texts), *[[]] * (len(texts) - 1)]
         base = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(text)] for text in texts]
@@ -194,12 +201,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def limits_of(counts: list[tuple[int, int, int, int]], false_share: float) -> dict[int, int]:
-    """For each length class the highest level to report, from (length class, level, ordinary strings, others).
+    """For each class the highest level to report, from (class, level, ordinary strings, others).
 
     Benjamini-Hochberg with the ordinary strings' chance of being at a level or below it: the largest level at which
     the reports expected by chance are at most ``false_share`` of all.
     """
-    table = np.zeros((2, len(LENGTH_CLASSES), LEVELS))
+    table = np.zeros((2, CLASSES, LEVELS))
     for of, level, ordinary, others in counts:
         table[:, of, level] += ordinary, others
     ordinary, others = table.cumsum(2)
@@ -209,13 +216,18 @@ def limits_of(counts: list[tuple[int, int, int, int]], false_share: float) -> di
 
 
 def _limits(scanned: DataFrame, false_share: float) -> dict[int, int]:
-    """At most LENGTH_CLASSES * LEVELS counts go to the driver."""
-    one = F.lit(1).cast("long")
-    others = scanned.select(F.explode("tested").alias("t")).select("t.length_class", "t.level", (one - one).alias("ordinary"), one.alias("others"))
-    plain = scanned.select(F.explode("ordinary").alias("o")).select("o.length_class", "o.level", F.col("o.n").alias("ordinary"), (one - one).alias("others"))
-    both = plain.unionByName(others)
-    counts = both.groupBy("length_class", "level").agg(F.sum("ordinary"), F.sum("others"))
-    return limits_of([tuple(r) for r in counts.collect()], false_share)
+    """At most (CLASSES + 2 * LENGTH_CLASSES) * LEVELS counts go to the driver."""
+    none = F.lit(-1)
+    others = scanned.select(F.explode("tested").alias("t")).select("t.class", none.alias("encoding"), none.alias("length_class"), "t.level", F.lit(1).cast("long").alias("n"))
+    plain = scanned.select(F.explode("ordinary").alias("o")).select(none.alias("class"), "o.encoding", "o.length_class", "o.level", "o.n")
+    counts = []
+    for of, encoding, length, level, n in others.unionByName(plain).groupBy("class", "encoding", "length_class", "level").agg(F.sum("n")).collect():
+        if of >= 0:
+            counts.append((of, level, 0, n))
+        else:
+            held = [e for e, name in enumerate(NAMES) if (name == "decimal") == (NAMES[encoding] == "decimal")]
+            counts += [(e * len(LENGTH_CLASSES) + length, level, n, 0) for e in held]
+    return limits_of(counts, false_share)
 
 
 def _tested(docs: DataFrame) -> DataFrame:
@@ -231,8 +243,8 @@ def secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """
     scanned = stored(_tested(docs), "scanned")
     found = _limits(scanned, false_share)
-    limits = F.array(*(F.lit(found.get(c, -1)) for c in range(len(LENGTH_CLASSES))))
-    random = F.filter("tested", lambda t: t.level <= limits[t.length_class])
+    limits = F.array(*(F.lit(found.get(c, -1)) for c in range(CLASSES)))
+    random = F.filter("tested", lambda t: t["level"] <= limits[t["class"]])
     new = F.filter(random, lambda t: ~F.exists("base", lambda b: (b.start <= t.start) & (t.end <= b.end)))
     as_spans = F.transform(new, lambda t: F.struct(t.start.alias("start"), F.lit(KINDS.index("random")).alias("kind"), t.end.alias("end")))
     base = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
@@ -252,7 +264,7 @@ def redact(docs: DataFrame, false_share: float = FALSE_SHARE, mark: str = "<secr
         strings = _candidates(text)
         spans = base_spans(text)
         found = levels([s[2] for s in strings], [encoding_of(s[2]) for s in strings])
-        spans += [(KINDS.index("random"), a, b) for (a, b, s), level in zip(strings, found, strict=True) if level <= limits.get(length_class(s), -1)]
+        spans += [(KINDS.index("random"), a, b) for (a, b, s), level in zip(strings, found, strict=True) if level <= limits.get(class_of(s), -1)]
         out, end = [], 0
         for _, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
             if a >= end:

@@ -95,6 +95,23 @@ def test_random_strings_of_few_long_texts_are_found(spark):
     assert sum("<secret>" in r.text for r in S.redact(df).collect()) == 3
 
 
+def test_random_strings_of_letters_or_digits_alone_are_found(spark):
+    rnd = random.Random(6)
+    words = "the and nation there other nothing in of window harbour letter 1998 2004 2011 120 15 1000".split()
+    lines = [" ".join(rnd.choices(words, k=3000)) for _ in range(40)]
+    kinds = ["lower", "letters", "decimal", "upper_base36"]
+    # From 24 digits on the base pattern of hex strings reports them.
+    secrets = {k: ["".join(rnd.choices(S.ENCODINGS[k], k=23 if k == "decimal" else 80)) for _ in range(40)] for k in kinds}
+    glued = ["".join(rnd.choices(words[:11], k=12)) for _ in range(40)]
+    rows = [(i, " ".join([line, *(secrets[k][i] for k in kinds), glued[i], "-" * 60, "20" * 11])) for i, line in enumerate(lines)]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {texts[r.doc_id][s.start : s.end] for r in S.secrets(df).collect() for s in r.spans if s.kind == 3}
+    assert not found & {*glued, "-" * 60, "20" * 11}
+    numbers = {k: sum(x in found for x in secrets[k]) for k in kinds}
+    assert min(numbers.values()) > 20, numbers
+
+
 def test_false_share_bounds_the_level():
     # Twenty others at level 1; ordinary strings are there one time in a thousand, or half of the time.
     assert S.limits_of([(3, 1, 1, 20), (3, 50, 999, 0)], 0.05) == {3: 1}
