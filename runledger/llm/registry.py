@@ -8,11 +8,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, chat_format, embedding_dedup, exact_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, toxicity
+from runledger.llm import (
+    bpe,
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    nearest,
+    packing,
+    prefix_trie,
+    quality,
+    secret_scan,
+    token_alignment,
+    toxicity,
+)
 from runledger.llm.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +100,18 @@ def _repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": _secrets,
@@ -98,11 +124,14 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": _repeated_lines,
         "op9_bpe": _encoded,
         "op10_jaccard_join": _similar,
+        "op11_prefix_trie": _trie,
+        "op12_token_alignment": _alignment,
+        "op13_nearest": _nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_SQL}
+    return {"op7_exact_dedup": EXACT_SQL, "op11_prefix_trie": TRIE_SQL}
 
 
 EXACT_SQL = r"""
@@ -114,3 +143,38 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id NULLS LAST)
 """
+
+# DuckDB has no CRC-32: the bytes are folded bit by bit. A node is the list of its turns; ancestors are its prefixes.
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), cut AS (
+  SELECT *, xor(list_reduce(list_transform(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+           lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda x: x),
+           lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, 4294967295), 4294967295) % 4 AS h
+  FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(f.own, [])[1:c.h], c.own[c.h + 1:]) AS s
+  FROM cut c LEFT JOIN turns f ON f.conv_id = c.conv_id - c.conv_id % 20
+), members AS (
+  SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt
+), nodes AS (
+  SELECT s[1:d] AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = d), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2
+), linked AS (
+  SELECT n.*, u.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(regexp_extract_all(n.p[-1].t, '[^\x20\x09-\x0D]+')) END AS own_saved
+  FROM nodes n LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]
+  LEFT JOIN (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2) k
+    ON k.depth = n.depth AND k.p = n.p
+), totals AS (
+  SELECT p, depth, sum(leaf) AS n_leaves, sum(own_saved) AS saved_tokens
+  FROM (SELECT l.p[1:a.d] AS p, a.d AS depth, CAST(n_children = 0 AS INT) AS leaf, own_saved FROM linked l, unnest(range(l.depth + 1)) AS a(d))
+  GROUP BY 1, 2
+)
+SELECT l.conv_id, l.depth, l.parent_conv_id, l.n_convs, l.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves,
+       CAST(t.saved_tokens AS BIGINT) AS saved_tokens, l.ends_sha256
+FROM linked l JOIN totals t ON t.depth = l.depth AND t.p = l.p
+"""
