@@ -27,7 +27,9 @@ from runledger.llm.storage import stored
 from runledger.llm.tokens import LONGEST, REMEMBERED, UnitEncoder, byte_table, merges_by_rank, spaced_words
 
 # Pairs that a task looks up itself, at most; links made at a time; different pairs that a task holds before it reports them.
-COMMON, LINKS, HELD = 200_000, 4_000_000, 2_000_000
+COMMON, LINKS, HELD = 200_000, 1_000_000, 1_000_000
+# Bytes of text that are aligned at a time; links of a group from which on its equal tokens are counted before they meet.
+PART, LARGE = 1_000_000, 64
 # Pairs of one document in a row.
 ROW_PAIRS = 1_000_000
 _SPACE = "▁"
@@ -160,23 +162,41 @@ def _digests(a: pa.Table, b: pa.Table, group_a: np.ndarray, group_b: np.ndarray,
     return [hashlib.sha256(text.as_buffer()).hexdigest() if text.is_valid and len(text.as_buffer() or b"") else "" for text in texts]
 
 
-def _pairs(a: pa.Table, b: pa.Table, base: int) -> pa.Table:
-    """How often each document links each pair of ids, from (group, doc, id) of both sides."""
-    counted = [t.group_by(["group", "doc", "id"], use_threads=False).aggregate([([], "count_all")]) for t in (a, b)]
-    left = counted[0].rename_columns(["group", "doc", "a", "in_a"])
-    right = counted[1].select(["group", "id", "count_all"]).rename_columns(["group", "b", "in_b"])
+def _numbered(keys: pa.Array, values: pa.Array) -> pa.Table:
+    """Sums of ``values`` per different key."""
+    return pa.table({"key": keys, "n": values}).group_by("key", use_threads=False).aggregate([("n", "sum")]).select(["key", "n_sum"])
+
+
+def _occurring(group: np.ndarray, ids: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, id and number of occurrences in it; equal tokens are counted together in large groups only."""
+    alone = ~large[group]
+    counted = _numbered(pa.array(group[~alone] << 32 | ids[~alone]), pa.array(np.ones(int((~alone).sum()), np.int64)))
+    keys, n = counted["key"].to_numpy(), counted["n_sum"].to_numpy()
+    return (
+        np.concatenate([group[alone], keys >> 32]), np.concatenate([ids[alone], keys & 0xFFFFFFFF]), np.concatenate([np.ones(int(alone.sum()), np.int64), n])
+    )
+
+
+def _pairs(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, doc_of: np.ndarray, base: int) -> pa.Table:
+    """How often each document links each pair of ids, from the ids and groups of both sides; in order of document and pair."""
+    n = len(doc_of)
+    large = np.bincount(group_a, minlength=n) * np.bincount(group_b, minlength=n) > LARGE
+    of_a, of_b = _occurring(group_a, a, large), _occurring(group_b, b, large)
+    left, right = (pa.table(dict(zip(names, of, strict=True))) for names, of in ((("group", "a", "in_a"), of_a), (("group", "b", "in_b"), of_b)))
     # A block of tokens of A makes a bounded number of pairs, however many tokens a group has.
-    width = np.bincount(right["group"].to_numpy())[left["group"].to_numpy()]
+    width = np.bincount(of_b[0], minlength=n)[of_a[0]]
     cuts = np.searchsorted(np.cumsum(width), np.arange(LINKS, int(width.sum()) + LINKS, LINKS), "right")
     found, start = [], 0
     for cut in np.maximum.accumulate(np.maximum(cuts, 1)):
         if cut > start:
             made = left.slice(start, cut - start).join(right, "group", join_type="inner", use_threads=False)
-            pair = pc.add(pc.multiply(made["a"], base), made["b"])
-            rows = pa.table({"doc": made["doc"], "pair": pair, "times": pc.multiply(made["in_a"], made["in_b"])})
-            found.append(rows.group_by(["doc", "pair"], use_threads=False).aggregate([("times", "sum")]))
+            key = doc_of[made["group"].to_numpy()] * (base << 20) + made["a"].to_numpy() * base + made["b"].to_numpy()
+            found.append(_numbered(pa.array(key), pc.multiply(made["in_a"], made["in_b"])))
             start = cut
-    return pa.concat_tables(found).group_by(["doc", "pair"], use_threads=False).aggregate([("times_sum", "sum")]).rename_columns(["doc", "pair", "times"])
+    whole = pa.concat_tables(found)
+    whole = (whole if len(found) == 1 else _numbered(whole["key"], whole["n_sum"])).sort_by("key")
+    key = whole["key"].to_numpy()
+    return pa.table({"doc": pa.array(key // (base << 20)), "pair": pa.array(key % (base << 20)), "times": whole["n_sum"]})
 
 
 def align(a_ids: list[bytes], b_ids: list[bytes], texts: list[str], tokens: list[pa.Array], names: pa.Array) -> tuple[dict[str, np.ndarray], list[str], pa.Table]:
@@ -200,8 +220,7 @@ def align(a_ids: list[bytes], b_ids: list[bytes], texts: list[str], tokens: list
         counts[name][kept] = np.bincount(np.asarray(docs), minlength=len(kept))
     for i, digest in zip(kept, _digests(a, b, group_a, group_b, len(shared), len(kept), names), strict=True):
         digests[i] = digest
-    tables = [pa.table({"group": g, "doc": t["doc"].cast(pa.int64()), "id": t["id"]}) for g, t in ((group_a, a), (group_b, b))]
-    pairs = _pairs(*tables, len(tokens[1])).sort_by([("doc", "ascending"), ("pair", "ascending")])
+    pairs = _pairs(a["id"].to_numpy(), group_a, b["id"].to_numpy(), group_b, shared >> 40, len(tokens[1]))
     doc = pairs["doc"].to_numpy()
     counts["n_links"][kept] = np.bincount(doc, pairs["times"].to_numpy(), len(kept)).astype(np.int64)
     return counts, digests, pairs.set_column(0, "doc", pa.array(kept[doc]))
@@ -213,7 +232,7 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, tokens, names = _tools(a_path, b_path, by_rank)
-        for part in (part for batch in batches for part in slices(batch)):
+        for part in (part for batch in batches for part in slices(batch, most=PART)):
             texts = texts_of(part)
             counts, digests, pairs = align(a.spaced(texts), b.encode(texts), texts, tokens, names)
             n = np.bincount(pairs["doc"].to_numpy(), minlength=len(texts))

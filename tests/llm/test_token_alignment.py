@@ -81,10 +81,10 @@ def test_empty_table(spark):
     assert run(spark, [(1, None)]) == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
-@pytest.mark.parametrize("limits", [(200_000, 4_000_000, 2_000_000, 1_000_000), (20, 7, 30, 5), (0, 1, 1, 1)])
+@pytest.mark.parametrize("limits", [(200_000, 1_000_000, 1_000_000, 1_000_000, 0), (20, 7, 30, 5, 2), (0, 1, 1, 1, 64)])
 def test_bounds_change_nothing(spark, monkeypatch, limits):
     """Few common pairs, small blocks of links, early reports and split rows; a third of the texts are equal."""
-    for name, value in zip(("COMMON", "LINKS", "HELD", "ROW_PAIRS"), limits, strict=True):
+    for name, value in zip(("COMMON", "LINKS", "HELD", "ROW_PAIRS", "LARGE"), limits, strict=True):
         monkeypatch.setattr(A, name, value)
     rng = random.Random(4)
     words = ["alpha", "Beta", "gamma,", "don't", "ünïcode", "12345", "北京", "re-run", "\n", "", "abcabcabcabc", "🙂"]
