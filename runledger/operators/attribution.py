@@ -11,15 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as V
 from runledger.clock import Clock, ntz
 from runledger.functions import epoch_second
+from runledger.functions.nodes import covering_nodes, levels_for, nodes_above
 from runledger.operators.pricing import with_price_as_of
 from runledger.operators.skew import key_hash, parts_of, shuffle_partitions, sketch, spread_join
 from runledger.operators.sweep import running_total
+from runledger.sources.shared import kept
 from runledger.sources.tables import Tables
 
 WINDOW_DAYS = 90
@@ -52,10 +54,10 @@ TAG_COLUMNS = [
     "created_by",
 ]
 BY_RUN = ["job_run_id"]
-BY_NOTEBOOK = ["notebook_path", "_bucket"]
+BY_NOTEBOOK = ["notebook_path", "_node"]
 
 
-def _bucket(time: Column) -> Column:
+def bucket_of(time: Column) -> Column:
     return F.floor(epoch_second(time) / (3600 * BUCKET_HOURS))
 
 
@@ -77,128 +79,156 @@ def billed_usage(t: Tables, clock: Clock, days: int) -> DataFrame:
     )
 
 
+def tag_records(t: Tables, clock: Clock, columns: list[str]) -> DataFrame:
+    """Tag records with ``columns`` and when they were running, an open one up to now."""
+    return t.tags.select(
+        *BY_RUN, "notebook_path", *columns, F.col("run_start_time").alias("_tag_start"), F.coalesce("run_end_time", clock.now()).alias("_tag_end")
+    )
+
+
 @dataclass(frozen=True)
 class _Profile:
-    """What the joins need to know of the usage: its span and its hot keys."""
+    """What the joins need to know: the span of the usage, the levels of the time tree and the hot keys of both sides."""
 
     first: datetime
     last: datetime
-    hot_runs: dict[int, int]
-    hot_notebooks: dict[int, int]
+    levels: int
+    hot_usage: tuple[dict[int, int], dict[int, int]]
+    hot_tags: tuple[dict[int, int], dict[int, int]]
 
 
-def _profile(t: Tables, clock: Clock, days: int) -> _Profile:
-    """One pass over the key columns; the answer is a single row of bounded size."""
-    keyed = _billed(t, clock, days).withColumn("_bucket", _bucket(F.col("usage_start_time"))).select(
-        "usage_start_time", key_hash(BY_RUN).alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook")
+def _keyed(side: str, rows: DataFrame, starts: str, ends: str) -> DataFrame:
+    where = rows.withColumn("_node", bucket_of(F.col(starts)))
+    return where.select(
+        F.lit(side).alias("side"), key_hash(BY_RUN).alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook"), F.col(starts).alias("_first"), F.col(ends).alias("_last")
     )
-    partitions = shuffle_partitions(t.usage)
-    row = keyed.agg(
-        F.min("usage_start_time").alias("first"),
-        F.max("usage_start_time").alias("last"),
+
+
+def _profile(clock: Clock, usage: DataFrame, tags: DataFrame) -> _Profile:
+    """One pass over the key columns of both sides; the answer is two rows of bounded size.
+
+    Notebooks are counted at the bucket in which a record begins, before it is spread over the tree.
+    """
+    partitions = shuffle_partitions(usage)
+    keyed = _keyed("usage", usage, "usage_start_time", "usage_start_time").unionByName(_keyed("tags", tags, "_tag_start", "_tag_end"))
+    rows = keyed.groupBy("side").agg(
+        F.min("_first").alias("first"),
+        F.max("_last").alias("last"),
         F.count("*").alias("n"),
+        F.count("_notebook").alias("m"),
+        F.max(bucket_of(F.col("_last")) - bucket_of(F.col("_first"))).alias("longest"),
         sketch("_run", "runs", partitions),
         sketch("_notebook", "notebooks", partitions),
-    ).first()
-    return _Profile(
-        row.first or clock.as_of,
-        row.last or clock.as_of,
-        parts_of(row.runs, row.n, partitions),
-        parts_of(row.notebooks, row.n, partitions),
     )
+    found = {row.side: row for row in rows.collect()}
 
+    def hot(side: str) -> tuple[dict[int, int], dict[int, int]]:
+        row = found.get(side)
+        return (parts_of(row.runs, row.n, partitions), parts_of(row.notebooks, row.m, partitions)) if row else ({}, {})
 
-def _hot_tags(t: Tables, intervals: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
-    """Hot run ids and hot notebook buckets of the tag log, from one bounded row each."""
-    keyed = t.tags.select(key_hash(BY_RUN).alias("_run"), F.lit(None).cast("bigint").alias("_notebook")).unionByName(
-        intervals.select(F.lit(None).cast("bigint").alias("_run"), key_hash(BY_NOTEBOOK).alias("_notebook"))
-    )
-    partitions = shuffle_partitions(t.tags)
-    row = keyed.agg(
-        sketch("_run", "runs", partitions), F.count("_run").alias("n"), sketch("_notebook", "notebooks", partitions), F.count("_notebook").alias("m")
-    ).first()
-    return parts_of(row.runs, row.n, partitions), parts_of(row.notebooks, row.m, partitions)
-
-
-def _tag_intervals(t: Tables, clock: Clock, profile: _Profile) -> DataFrame:
-    """Tag records with a notebook, one row per time bucket they were running in, clipped to the usage."""
-    start, end = F.col("run_start_time"), F.coalesce("run_end_time", clock.now())
-    first, last = ntz(profile.first), ntz(profile.last)
-    log = t.tags
-    if "run_date" in log.columns:
-        # The stored log is partitioned by start date: later partitions need not be read.
-        log = log.filter(F.col("run_date") <= F.lit(profile.last.date()))
-    return (
-        log.filter(F.col("notebook_path").isNotNull() & (start <= last) & (end >= first) & (end >= start))
-        .withColumn("_tag_end", end)
-        .withColumn("_tag_start", start)
-        .withColumn("_tag_run", F.col("job_run_id"))
-        .withColumn(
-            "_bucket", F.explode(F.sequence(_bucket(F.greatest("_tag_start", first)), _bucket(F.least("_tag_end", last))))
-        )
+    used, tagged = found.get("usage"), found.get("tags")
+    return _Profile(
+        (used.first if used else None) or clock.as_of,
+        (used.last if used else None) or clock.as_of,
+        levels_for((tagged.longest or 0) if tagged else 0),
+        hot("usage"),
+        hot("tags"),
     )
 
 
+def _ran(tags: DataFrame, profile: _Profile) -> DataFrame:
+    """Records with a notebook that were running while there was usage."""
+    start, end = F.col("_tag_start"), F.col("_tag_end")
+    return tags.filter(F.col("notebook_path").isNotNull() & (start <= ntz(profile.last)) & (end >= ntz(profile.first)) & (end >= start))
+
+
+def _clipped_buckets(profile: _Profile) -> tuple[Column, Column]:
+    return bucket_of(F.greatest("_tag_start", ntz(profile.first))), bucket_of(F.least("_tag_end", ntz(profile.last)))
+
+
 def _running() -> Column:
     return F.col("usage_start_time").between(F.col("_tag_start"), F.col("_tag_end"))
 
 
-def _matched(t: Tables, usage: DataFrame, intervals: DataFrame, profile: _Profile) -> DataFrame:
+def _matched(usage: DataFrame, tags: DataFrame, profile: _Profile) -> DataFrame:
     columns = [*USAGE_COLUMNS, *TAG_COLUMNS]
-    hot_runs, hot_notebooks = _hot_tags(t, intervals)
     by_run = spread_join(
         usage,
-        t.tags.select(*BY_RUN, *TAG_COLUMNS),
+        tags.select(*BY_RUN, *TAG_COLUMNS),
         BY_RUN,
         "inner",
-        hot_left=profile.hot_runs,
-        hot_right=hot_runs,
+        hot_left=profile.hot_usage[0],
+        hot_right=profile.hot_tags[0],
     )
     # A pair that shares the run id is already there; a NULL id on either side shares nothing.
     other_run = ~F.coalesce(F.col("job_run_id") == F.col("_tag_run"), F.lit(False))
+    # An interval is a few nodes of a tree over time, and an instant meets it at one of the nodes above its bucket.
+    nodes = covering_nodes(*_clipped_buckets(profile), profile.levels)
     by_notebook = spread_join(
-        usage.withColumn("_bucket", _bucket(F.col("usage_start_time"))),
-        intervals.select(*BY_NOTEBOOK, "_tag_start", "_tag_end", "_tag_run", *TAG_COLUMNS),
+        usage.filter("notebook_path IS NOT NULL").withColumn("_node", F.explode(nodes_above(bucket_of(F.col("usage_start_time")), profile.levels))),
+        _ran(tags, profile).withColumn("_node", F.explode(nodes)).withColumnRenamed("job_run_id", "_tag_run"),
         BY_NOTEBOOK,
         "inner",
         _running() & other_run,
-        hot_left=profile.hot_notebooks,
-        hot_right=hot_notebooks,
+        hot_left=profile.hot_usage[1],
+        hot_right=profile.hot_tags[1],
         multiplies=True,
     )
     return by_run.select(*columns).unionByName(by_notebook.select(*columns))
 
 
-def _merged(intervals: DataFrame) -> DataFrame:
-    """The times at which any record of a notebook was running: intervals that meet become one."""
-    starts = intervals.groupBy(*BY_NOTEBOOK, "_tag_start").agg(F.max("_tag_end").alias("_tag_end"))
-    earlier = Window.partitionBy(*BY_NOTEBOOK).orderBy("_tag_start").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*BY_NOTEBOOK).orderBy("_tag_start").rowsBetween(Window.unboundedPreceding, 0)
-    apart = F.coalesce((F.max("_tag_end").over(earlier) < F.col("_tag_start")).cast("int"), F.lit(1))
-    islands = starts.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(upto))
-    return islands.groupBy(*BY_NOTEBOOK, "_island").agg(F.min("_tag_start").alias("_tag_start"), F.max("_tag_end").alias("_tag_end")).drop("_island")
+def covered_times(ran: DataFrame) -> DataFrame:
+    """(notebook_path, _tag_start, _tag_end): the times at which any record of a notebook was running, joined where they meet.
 
-
-def _unmatched(t: Tables, usage: DataFrame, intervals: DataFrame, profile: _Profile) -> DataFrame:
-    known_runs = t.tags.select(*BY_RUN).filter("job_run_id IS NOT NULL").distinct()
-    without_run = spread_join(usage, known_runs, BY_RUN, "left_anti", hot_left=profile.hot_runs)
-    covered = _merged(intervals)
+    The number of running records is a running total over instants, taken in steps that no single task has to take
+    alone; a stretch begins where it leaves zero and ends where it returns, and stretches are numbered by a second one.
+    """
+    key = ["notebook_path"]
+    marks = ran.select(
+        *key,
+        F.explode(F.array(
+            F.struct(F.col("_tag_start").alias("t"), F.lit(1).alias("n_start"), F.lit(0).alias("n_end")),
+            F.struct(F.col("_tag_end").alias("t"), F.lit(0).alias("n_start"), F.lit(1).alias("n_end")),
+        )).alias("m"),
+    ).select(*key, "m.*")
+    instants = marks.groupBy(*key, "t").agg(F.sum("n_start").alias("n_start"), F.sum("n_end").alias("n_end")).withColumn("_net", F.col("n_start") - F.col("n_end"))
+    live = running_total(instants, "_net", "_after", key)
+    edges = live.select(
+        *key, "t", ((F.col("_after") == F.col("_net")) & (F.col("n_start") > 0)).cast("int").alias("_begins"), (F.col("_after") == 0).alias("_stops")
+    ).filter("_begins = 1 OR _stops")
+    numbered = running_total(edges, "_begins", "_stretch", key)
+    return numbered.groupBy(*key, "_stretch").agg(F.min("t").alias("_tag_start"), F.max("t").alias("_tag_end")).drop("_stretch")
+
+
+def _unmatched(usage: DataFrame, tags: DataFrame, profile: _Profile) -> DataFrame:
+    """The rows of ``usage`` (job_run_id, notebook_path, usage_start_time and others) that no record matches."""
+    known_runs = tags.select(*BY_RUN).filter("job_run_id IS NOT NULL").distinct()
+    without_run = spread_join(usage, known_runs, BY_RUN, "left_anti", hot_left=profile.hot_usage[0])
+    # Stretches of a notebook do not meet, so there are few in a bucket.
+    covered = covered_times(_ran(tags, profile))
+    covered = covered.withColumn("_node", F.explode(F.sequence(*_clipped_buckets(profile))))
     return spread_join(
-        without_run.withColumn("_bucket", _bucket(F.col("usage_start_time"))),
+        without_run.withColumn("_node", bucket_of(F.col("usage_start_time"))),
         covered,
         BY_NOTEBOOK,
         "left_anti",
         _running(),
-        hot_left=profile.hot_notebooks,
-    ).select(*USAGE_COLUMNS)
+        hot_left=profile.hot_usage[1],
+    ).select(*usage.columns)
+
+
+def _prepared(t: Tables, clock: Clock, days: int, columns: list[str]) -> tuple[DataFrame, DataFrame, _Profile]:
+    """Usage and tag records, each read from its source once, and their profile."""
+    usage = kept(billed_usage(t, clock, days), "billed-usage")
+    tags = kept(tag_records(t, clock, columns), "tag-records")
+    return usage, tags, _profile(clock, usage, tags)
 
 
 def attribute_usage(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFrame:
     """Usage rows with the columns of every matching tag record, or with NULLs and UNMATCHED."""
-    profile = _profile(t, clock, days)
-    usage, intervals = billed_usage(t, clock, days), _tag_intervals(t, clock, profile)
-    matched = _matched(t, usage, intervals, profile).withColumn("correlation_status", F.lit(V.MATCHED))
-    rest = _unmatched(t, usage, intervals, profile).withColumn("correlation_status", F.lit(V.UNMATCHED))
+    usage, tags, profile = _prepared(t, clock, days, TAG_COLUMNS)
+    matched = _matched(usage, tags, profile).withColumn("correlation_status", F.lit(V.MATCHED))
+    rest = _unmatched(usage, tags, profile).withColumn("correlation_status", F.lit(V.UNMATCHED))
     return note_days(matched.unionByName(rest, allowMissingColumns=True), days)
 
 
@@ -214,8 +244,7 @@ def attributed_days(attributed: DataFrame) -> int | None:
 
 def unmatched_rows(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFrame:
     """Only the usage rows without a tag record; the matching pairs are never built."""
-    profile = _profile(t, clock, days)
-    return _unmatched(t, billed_usage(t, clock, days), _tag_intervals(t, clock, profile), profile)
+    return _unmatched(*_prepared(t, clock, days, []))
 
 
 def _weighted(n: Column, cost: Column, times: Column) -> list[Column]:
@@ -257,20 +286,17 @@ def attribution_totals(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> Data
     Pairs by run id are counted from both sides grouped by run, pairs by notebook from a sweep over time;
     pairs that both rules find are counted once more and taken off.
     """
-    profile = _profile(t, clock, days)
-    usage = billed_usage(t, clock, days)
-    start, end = F.col("run_start_time"), F.coalesce("run_end_time", clock.now())
-    first, last = ntz(profile.first), ntz(profile.last)
-    ran = t.tags.filter((start <= last) & (end >= first) & (end >= start)).select(
-        *BY_RUN, "notebook_path", F.greatest(start, first).alias("_tag_start"), end.alias("_tag_end")
-    )
+    usage, tags, profile = _prepared(t, clock, days, [])
+    ran = tags.filter(
+        (F.col("_tag_start") <= ntz(profile.last)) & (F.col("_tag_end") >= ntz(profile.first)) & (F.col("_tag_end") >= F.col("_tag_start"))
+    ).withColumn("_tag_start", F.greatest("_tag_start", ntz(profile.first)))
     runs = usage.groupBy(*BY_RUN).agg(F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c"))
-    records = t.tags.groupBy(*BY_RUN).agg(F.count("*").alias("m"))
+    records = tags.groupBy(*BY_RUN).agg(F.count("*").alias("m"))
     by_run = runs.join(records, BY_RUN).agg(*_weighted(F.col("n"), F.col("c"), F.col("m")))
     by_notebook = _live_weights(usage, ran, ["notebook_path"])
     by_both = _live_weights(usage, ran, ["job_run_id", "notebook_path"]).select((-F.col("n")).alias("n"), (-F.col("c")).alias("c"))
     matched = by_run.unionByName(by_notebook).unionByName(by_both).agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    rest = _unmatched(t, usage, _tag_intervals(t, clock, profile), profile).agg(
+    rest = _unmatched(usage, tags, profile).agg(
         F.count("*").alias("n"), F.sum("estimated_cost_usd").alias("c")
     )
     both = matched.withColumn("correlation_status", F.lit(V.MATCHED)).unionByName(
