@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A node of a level covers so many of the level below.
-RADIX = 16
+RADIX = 32
 _LEVEL = 1 << 40
 
 

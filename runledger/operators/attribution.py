@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as V
@@ -21,7 +21,6 @@ from runledger.functions.nodes import covering_nodes, levels_for, nodes_above
 from runledger.operators.pricing import with_price_as_of
 from runledger.operators.skew import key_hash, parts_of, shuffle_partitions, sketch, spread_join
 from runledger.operators.sweep import running_total
-from runledger.sources.shared import kept
 from runledger.sources.tables import Tables
 
 WINDOW_DAYS = 90
@@ -163,10 +162,11 @@ def _matched(usage: DataFrame, tags: DataFrame, profile: _Profile) -> DataFrame:
     # A pair that shares the run id is already there; a NULL id on either side shares nothing.
     other_run = ~F.coalesce(F.col("job_run_id") == F.col("_tag_run"), F.lit(False))
     # An interval is a few nodes of a tree over time, and an instant meets it at one of the nodes above its bucket.
-    nodes = covering_nodes(*_clipped_buckets(profile), profile.levels)
+    used = usage.filter("notebook_path IS NOT NULL").withColumn("_b", bucket_of(F.col("usage_start_time")))
+    ran = _ran(tags, profile).withColumns(dict(zip(("_b", "_c"), _clipped_buckets(profile), strict=True)))
     by_notebook = spread_join(
-        usage.filter("notebook_path IS NOT NULL").withColumn("_node", F.explode(nodes_above(bucket_of(F.col("usage_start_time")), profile.levels))),
-        _ran(tags, profile).withColumn("_node", F.explode(nodes)).withColumnRenamed("job_run_id", "_tag_run"),
+        used.withColumn("_node", F.explode(nodes_above(F.col("_b"), profile.levels))).drop("_b"),
+        ran.withColumn("_node", F.explode(covering_nodes(F.col("_b"), F.col("_c"), profile.levels))).drop("_b", "_c").withColumnRenamed("job_run_id", "_tag_run"),
         BY_NOTEBOOK,
         "inner",
         _running() & other_run,
@@ -177,39 +177,35 @@ def _matched(usage: DataFrame, tags: DataFrame, profile: _Profile) -> DataFrame:
     return by_run.select(*columns).unionByName(by_notebook.select(*columns))
 
 
-def covered_times(ran: DataFrame) -> DataFrame:
-    """(notebook_path, _tag_start, _tag_end): the times at which any record of a notebook was running, joined where they meet.
+def covered_times(pieces: DataFrame) -> DataFrame:
+    """The times at which any record was running, per notebook and bucket: pieces that meet become one.
 
-    The number of running records is a running total over instants, taken in steps that no single task has to take
-    alone; a stretch begins where it leaves zero and ends where it returns, and stretches are numbered by a second one.
+    A stretch begins at a piece that starts after the latest end of all earlier ones. That prefix maximum is taken in two
+    steps, within a minute and over the minutes of a bucket, so a bucket's pieces need not meet in one task.
     """
-    key = ["notebook_path"]
-    marks = ran.select(
-        *key,
-        F.explode(F.array(
-            F.struct(F.col("_tag_start").alias("t"), F.lit(1).alias("n_start"), F.lit(0).alias("n_end")),
-            F.struct(F.col("_tag_end").alias("t"), F.lit(0).alias("n_start"), F.lit(1).alias("n_end")),
-        )).alias("m"),
-    ).select(*key, "m.*")
-    instants = marks.groupBy(*key, "t").agg(F.sum("n_start").alias("n_start"), F.sum("n_end").alias("n_end")).withColumn("_net", F.col("n_start") - F.col("n_end"))
-    live = running_total(instants, "_net", "_after", key)
-    edges = live.select(
-        *key, "t", ((F.col("_after") == F.col("_net")) & (F.col("n_start") > 0)).cast("int").alias("_begins"), (F.col("_after") == 0).alias("_stops")
-    ).filter("_begins = 1 OR _stops")
-    numbered = running_total(edges, "_begins", "_stretch", key)
-    return numbered.groupBy(*key, "_stretch").agg(F.min("t").alias("_tag_start"), F.max("t").alias("_tag_end")).drop("_stretch")
+    starts = pieces.groupBy(*BY_NOTEBOOK, "_tag_start").agg(F.max("_tag_end").alias("_tag_end")).withColumn("_minute", F.floor(epoch_second(F.col("_tag_start")) / 60))
+    minute = [*BY_NOTEBOOK, "_minute"]
+    earlier = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    minutes = starts.groupBy(*minute).agg(F.max("_tag_end").alias("_upto"))
+    before = minutes.select(
+        *minute, F.max("_upto").over(earlier("_minute", *BY_NOTEBOOK)).alias("_before"), F.max("_upto").over(Window.partitionBy(*BY_NOTEBOOK)).alias("_last")
+    )
+    within = starts.withColumn("_within", F.max("_tag_end").over(earlier("_tag_start", *minute)))
+    ended = within.join(before, minute).withColumn("_ended", F.greatest("_before", "_within"))
+    # What ended before a stretch begins is the end of the stretch before it.
+    first = ended.filter("_ended IS NULL OR _ended < _tag_start")
+    following = F.lead("_ended").over(Window.partitionBy(*BY_NOTEBOOK).orderBy("_tag_start"))
+    return first.select(*BY_NOTEBOOK, "_tag_start", F.coalesce(following, "_last").alias("_tag_end"))
 
 
 def _unmatched(usage: DataFrame, tags: DataFrame, profile: _Profile) -> DataFrame:
     """The rows of ``usage`` (job_run_id, notebook_path, usage_start_time and others) that no record matches."""
     known_runs = tags.select(*BY_RUN).filter("job_run_id IS NOT NULL").distinct()
     without_run = spread_join(usage, known_runs, BY_RUN, "left_anti", hot_left=profile.hot_usage[0])
-    # Stretches of a notebook do not meet, so there are few in a bucket.
-    covered = covered_times(_ran(tags, profile))
-    covered = covered.withColumn("_node", F.explode(F.sequence(*_clipped_buckets(profile))))
+    pieces = _ran(tags, profile).select("notebook_path", "_tag_start", "_tag_end", F.explode(F.sequence(*_clipped_buckets(profile))).alias("_node"))
     return spread_join(
         without_run.withColumn("_node", bucket_of(F.col("usage_start_time"))),
-        covered,
+        covered_times(pieces),
         BY_NOTEBOOK,
         "left_anti",
         _running(),
@@ -218,10 +214,10 @@ def _unmatched(usage: DataFrame, tags: DataFrame, profile: _Profile) -> DataFram
 
 
 def _prepared(t: Tables, clock: Clock, days: int, columns: list[str]) -> tuple[DataFrame, DataFrame, _Profile]:
-    """Usage and tag records, each read from its source once, and their profile."""
-    usage = kept(billed_usage(t, clock, days), "billed-usage")
-    tags = kept(tag_records(t, clock, columns), "tag-records")
-    return usage, tags, _profile(clock, usage, tags)
+    """Usage, tag records and their profile."""
+    usage, tags = billed_usage(t, clock, days), tag_records(t, clock, columns)
+    # The profile needs no price.
+    return usage, tags, _profile(clock, _billed(t, clock, days), tags)
 
 
 def attribute_usage(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> DataFrame:

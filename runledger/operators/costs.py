@@ -205,12 +205,12 @@ def sku_labels(t: Tables, clock: Clock, days: int = 90) -> DataFrame:
     )
 
 
-# Reports over usage joined with the tag log; ``plans.views`` supplies the attributed rows.
+# Reports over usage joined with the tag log. Their rows are attributed usage, or its totals per run (``Totals.per_run``).
 
 
-def _per_run(attributed: DataFrame) -> DataFrame:
+def _per_run(rows: DataFrame) -> DataFrame:
     """Cost and usage of each run per date and six tag dimensions, added up before anything is counted."""
-    return attributed.groupBy(*SUMMARY_KEYS, "job_run_id").agg(F.sum("estimated_cost_usd").alias("c"), F.sum("dbus").alias("q"))
+    return rows.groupBy(*SUMMARY_KEYS, "job_run_id").agg(F.sum("estimated_cost_usd").alias("c"), F.sum("dbus").alias("q"))
 
 
 def _totals():
@@ -223,10 +223,10 @@ def _totals():
     ]
 
 
-def roll_up_projects(attributed: DataFrame) -> DataFrame:
+def roll_up_projects(rows: DataFrame) -> DataFrame:
     """Cost and runs per project and department."""
     return (
-        _per_run(attributed).groupBy("project_code", "department")
+        _per_run(rows).groupBy("project_code", "department")
         .agg(*_totals())
         .select(
             F.coalesce("project_code", F.lit(V.UNTAGGED_PROJECT)).alias("project_code"),
@@ -240,10 +240,10 @@ def roll_up_projects(attributed: DataFrame) -> DataFrame:
     )
 
 
-def roll_up_departments(attributed: DataFrame) -> DataFrame:
+def roll_up_departments(rows: DataFrame) -> DataFrame:
     """Cost and runs per department with the number of its projects."""
     # First per project and run, so that only one distinct count is left for each step.
-    per_project = _per_run(attributed).groupBy("department", "project_code", "job_run_id").agg(F.sum("c").alias("c"), F.sum("q").alias("q"), F.count("*").alias("n"))
+    per_project = _per_run(rows).groupBy("department", "project_code", "job_run_id").agg(F.sum("c").alias("c"), F.sum("q").alias("q"), F.count("*").alias("n"))
     return (
         per_project.groupBy("department")
         .agg(

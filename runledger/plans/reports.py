@@ -15,6 +15,7 @@ from runledger.clock import Clock, check_range
 from runledger.functions import pct, usd
 from runledger.operators import costs
 from runledger.operators.attribution import TAG_COLUMNS, WINDOW_DAYS, attribute_usage, attributed_days, attribution_totals, note_days, unmatched_rows
+from runledger.operators.factorised import attributed_totals, totals_of
 from runledger.plans.views import weekly_trends
 from runledger.sources.tables import Tables
 
@@ -38,20 +39,25 @@ def _attributed(t: Tables, clock: Clock, days: int, attributed: DataFrame | None
     return attributed.filter(clock.on_dates(F.col("usage_date"), days))
 
 
+def _run_totals(t: Tables, clock: Clock, days: int, attributed: DataFrame | None) -> DataFrame:
+    """Usage and cost of each run per date and tag dimensions; from shared rows where they are given, else without any pairs."""
+    return attributed_totals(t, clock, days).per_run() if attributed is None else _attributed(t, clock, days, attributed)
+
+
 def costs_by_project(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     check_range("days", days, 1, 90)
-    return costs.roll_up_projects(_attributed(t, clock, days, attributed))
+    return costs.roll_up_projects(_run_totals(t, clock, days, attributed))
 
 
 def costs_by_department(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     check_range("days", days, 1, 90)
-    return costs.roll_up_departments(_attributed(t, clock, days, attributed))
+    return costs.roll_up_departments(_run_totals(t, clock, days, attributed))
 
 
 def costs_trends(t: Tables, clock: Clock, weeks: int = 8, attributed: DataFrame | None = None) -> DataFrame:
     check_range("weeks", weeks, 1, 52)
     # A week is shown when its Monday is in range, so no earlier usage date is needed.
-    rows = _attributed(t, clock, weeks * 7, attributed)
+    rows = _run_totals(t, clock, weeks * 7, attributed)
     return costs.roll_up_weeks(weekly_trends(rows), clock, weeks)
 
 
@@ -101,11 +107,14 @@ def costs_untagged_pct(t: Tables, clock: Clock, days: int = 30, attributed: Data
 def correlation_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     """Match counts per calling pipeline; usage without a tag record is one group."""
     check_range("days", days, 1, 90)
-    is_match = F.col("correlation_status") == V.MATCHED
+    if attributed is None:
+        totals = attributed_totals(t, clock, days)
+    else:
+        totals = totals_of(_attributed(t, clock, days, attributed), F.col("correlation_status") == V.MATCHED)
+    per_dimension = totals.named(totals.narrow.groupBy("_dim").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
     return (
-        _attributed(t, clock, days, attributed)
-        .groupBy("adf_pipeline_name")
-        .agg(F.count("*").alias("total_records"), F.count_if(is_match).alias("matched"))
+        per_dimension.groupBy("adf_pipeline_name")
+        .agg((F.sum("yes") + F.sum("no")).alias("total_records"), F.sum("yes").alias("matched"))
         .select(
             F.coalesce("adf_pipeline_name", F.lit(V.DIRECT_EXECUTION)).alias("pipeline_name"),
             "total_records",
@@ -120,7 +129,7 @@ def costs_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed: DataF
     """Cost and distinct runs per calling pipeline."""
     check_range("days", days, 1, 90)
     return (
-        _attributed(t, clock, days, attributed)
+        _run_totals(t, clock, days, attributed)
         .groupBy("adf_pipeline_name")
         .agg(F.sum("estimated_cost_usd").alias("c"), F.sum("dbus").alias("q"), F.countDistinct("job_run_id").alias("job_runs"))
         .select(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from runledger.functions.nodes import RADIX, covering_nodes, levels_for, nodes_above
 
 
-@pytest.mark.parametrize("longest", [0, 15, 16, 255, 300, 5_000])
+@pytest.mark.parametrize("longest", [0, 31, 32, 300, 1_023, 5_000])
 def test_every_bucket_meets_its_interval_once(spark, longest):
     """The nodes above a bucket and the nodes of an interval share one exactly where the bucket lies inside."""
     levels = levels_for(longest)
