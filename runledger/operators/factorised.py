@@ -34,12 +34,11 @@ from runledger.operators.attribution import (
 )
 from runledger.operators.costs import SUMMARY_KEYS
 from runledger.operators.skew import spread_join
-from runledger.sources.shared import kept
+from runledger.sources.shared import kept_together
 from runledger.sources.tables import Tables
 
 DIMENSIONS = SUMMARY_KEYS[1:]
 _KEYS = ["usage_date", "_dim", "job_run_id", "notebook_path"]
-_SUMS = ["q", "n", "c", "most", "rows"]
 
 
 def _digest(columns: list[Column]) -> Column:
@@ -104,18 +103,25 @@ def _segments(tags: DataFrame, profile: _Profile) -> DataFrame:
 
 @dataclass(frozen=True)
 class Totals:
-    """``narrow``: usage_date, _dim, job_run_id, notebook_path and sums (q, n, c, most, yes, no); ``dims``: the tags of each _dim."""
+    """``parts``: usage_date, _dim, job_run_id, notebook_path and sums (q, n, c, most, yes, no) that are still to be added up by
+    whatever a report groups by; ``dims``: the tags of each _dim.
+    """
 
-    narrow: DataFrame
+    parts: DataFrame
     dims: DataFrame
 
+    def narrow(self) -> DataFrame:
+        """One row per date, dimension, run and notebook."""
+        sums = [F.sum(c).alias(c) for c in ("q", "n", "c", "yes", "no")]
+        return self.parts.groupBy(*_KEYS).agg(*sums, F.max("most").alias("most"))
+
     def named(self, rows: DataFrame) -> DataFrame:
         """Rows with a ``_dim`` and its tags in its place."""
         return rows.join(self.dims, "_dim").drop("_dim")
 
     def per_run(self) -> DataFrame:
         """Usage ``dbus`` and cost of each run per date and dimension, with its tags."""
-        runs = self.narrow.groupBy("usage_date", "_dim", "job_run_id").agg(F.sum("c").alias("estimated_cost_usd"), F.sum("q").alias("dbus"))
+        runs = self.parts.groupBy("usage_date", "_dim", "job_run_id").agg(F.sum("c").alias("estimated_cost_usd"), F.sum("q").alias("dbus"))
         return self.named(runs)
 
 
@@ -131,8 +137,8 @@ def totals_of(attributed: DataFrame, matched: Column) -> Totals:
 
 def attributed_totals(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> Totals:
     """Totals of the usage of ``days`` days. Usage and tags are read once, reduced, and stored for the parts that need them."""
-    usage = kept(_reduced_usage(t, clock, days), "usage-totals")
-    tags = kept(tag_records(t, clock, DIMENSIONS).withColumn("_dim", _dimension()), "tag-records")
+    tagged = tag_records(t, clock, DIMENSIONS).withColumn("_dim", _dimension())
+    usage, tags = kept_together({"usage-totals": _reduced_usage(t, clock, days), "tag-records": tagged})
     profile = _profile(clock, usage, tags)
     narrow_tags = tags.drop(*DIMENSIONS)
 
@@ -156,6 +162,5 @@ def attributed_totals(t: Tables, clock: Clock, days: int = WINDOW_DAYS) -> Total
 
     none = F.lit(0).cast("bigint")
     rows = matched.withColumn("yes", F.col("rows")).withColumn("no", none).unionByName(open_.withColumn("yes", none).withColumn("no", F.col("rows")))
-    narrow = rows.groupBy(*_KEYS).agg(*(F.sum(c).alias(c) for c in ("q", "n", "c")), F.max("most").alias("most"), F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     nothing = t.spark.range(1).select(*(F.lit(None).cast("string").alias(name) for name in DIMENSIONS)).withColumn("_dim", _dimension())
-    return Totals(narrow, tags.select("_dim", *DIMENSIONS).unionByName(nothing).dropDuplicates(["_dim"]))
+    return Totals(rows.drop("rows"), tags.select("_dim", *DIMENSIONS).unionByName(nothing).dropDuplicates(["_dim"]))

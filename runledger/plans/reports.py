@@ -111,7 +111,7 @@ def correlation_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed:
         totals = attributed_totals(t, clock, days)
     else:
         totals = totals_of(_attributed(t, clock, days, attributed), F.col("correlation_status") == V.MATCHED)
-    per_dimension = totals.named(totals.narrow.groupBy("_dim").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+    per_dimension = totals.named(totals.parts.groupBy("_dim").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
     return (
         per_dimension.groupBy("adf_pipeline_name")
         .agg((F.sum("yes") + F.sum("no")).alias("total_records"), F.sum("yes").alias("matched"))

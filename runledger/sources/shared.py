@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +28,9 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_together(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """``kept`` for several relations, whose jobs share the cluster."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda item: kept(item[1], item[0]), frames.items()))

@@ -1,19 +1,20 @@
 """Totals without pairs against the attributed rows themselves."""
 
 from collections import Counter
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from data import CLOCK, at, tables, tag, usage
-from runledger.operators.attribution import attribute_usage
+from runledger.operators.attribution import attribute_usage, unmatched_rows
 from runledger.operators.factorised import attributed_totals, totals_of
 from runledger.plans import reports, views
 from test_costs import random_case
 
 
 def rows_of(totals):
-    named = totals.named(totals.narrow)
+    named = totals.named(totals.narrow())
     return Counter(tuple(r) for r in named.select(*sorted(named.columns)).withColumns({c: F.col(c).cast("double") for c in ("q", "c", "most")}).collect())
 
 
@@ -49,6 +50,21 @@ def test_no_pair_of_usage_and_record(spark):
     tags = [tag(i, f"t{i}", "/nb", "20 01:00", "20 23:00", project_code="P") for i in range(100)]
     t = tables(spark, usage=used, tags=tags)
     totals = attributed_totals(t, CLOCK)
-    assert totals.narrow.count() == 40 and totals.narrow.agg(F.sum("yes")).first()[0] == 4_000
-    joins = [line for line in totals.narrow._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert totals.narrow().count() == 40 and totals.narrow().agg(F.sum("yes")).first()[0] == 4_000
+    joins = [line for line in totals.narrow()._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert joins and all("correlation_id" not in line for line in joins)
+
+
+def test_a_third_of_all_records_in_one_bucket(spark):
+    """Unmatched usage between many short records of one notebook and bucket, some of which meet or hold others."""
+    length = lambda m: 40 if m % 11 == 0 else 1 if m % 3 == 0 else 0
+    base = at("20 06:00")
+    spans = [(base + timedelta(minutes=m), base + timedelta(minutes=m + length(m), seconds=20)) for m in range(0, 200, 2)]
+    tags = []
+    for i, (start, end) in enumerate(spans):
+        tags.append({**tag(i, None, "/nb"), "run_start_time": start, "run_end_time": end})
+        tags.append(tag(1_000 + i, None, f"/nb{i}", "19 00:00", "19 01:00"))
+    moments = [base + timedelta(seconds=30 * k + 5) for k in range(500)]
+    used = [usage("2024-01-20", notebook="/nb", start=m) for m in moments]
+    got = sorted(r.usage_start_time for r in unmatched_rows(tables(spark, usage=used, tags=tags), CLOCK).collect())
+    assert got == [m for m in moments if not any(a <= m <= b for a, b in spans)] and got
