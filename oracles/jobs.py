@@ -72,6 +72,9 @@ FROM named_runs a JOIN named_runs b
 WHERE a.period_start_time BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW}
   AND b.period_start_time BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW}
 ORDER BY overlap_start DESC, run_id_1, run_id_2 LIMIT 100"""),
+    "jobs_misordered": query(f"""
+SELECT COUNT(*) FILTER (WHERE period_end_time < period_start_time) AS misordered_runs, COUNT(*) AS runs
+FROM runs WHERE period_start_time BETWEEN {NOW} - INTERVAL 168 HOUR AND {NOW}"""),
     "jobs_concurrency": query("SELECT * FROM curve", points=_POINTS, curve=_CURVE),
     "jobs_concurrency_tail": query("SELECT * FROM curve ORDER BY time DESC LIMIT 50", points=_POINTS, curve=_CURVE),
     "jobs_search": query(f"""

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.clock import Clock, check_range
-from runledger.functions import as_id
+from runledger.functions import as_id, epoch_second
+from runledger.functions.nodes import covering_nodes, nodes_above
 from runledger.operators.jobs import with_job_name
 from runledger.operators.sweep import running_total
 from runledger.sources.tables import Tables
 
 
+# Levels of the tree over hours, 32 to a node of the next: a run of a year has at most 70 nodes.
+HOUR_LEVELS = 3
+
+
 def jobs_concurrency(t: Tables, clock: Clock, hours: int = 24) -> DataFrame:
     """Runs in progress at every instant of the window at which a run starts or ends, both ends included.
 
@@ -86,6 +91,17 @@ def jobs_overlaps(t: Tables, clock: Clock, hours: int = 24, limit: int = 100) ->
     return _with_pair_names(t, pairs).orderBy(F.desc("overlap_start"), "run_id_1", "run_id_2")
 
 
+def jobs_misordered(t: Tables, clock: Clock, hours: int = 24) -> DataFrame:
+    """How many runs of the window end before they start, and how many there are, one row.
+
+    Such rows cannot be placed on the axis; the overlaps and the concurrency leave them out. An open run has no end yet.
+    """
+    check_range("hours", hours, 1, 168)
+    start, end = F.col("period_start_time"), F.col("period_end_time")
+    window = t.runs.filter(clock.since_hours(start, hours))
+    return window.agg(F.count_if(end < start).alias("misordered_runs"), F.count("*").alias("runs"))
+
+
 _SIDE = ("kind", "job_id", "workspace_id", "run_name", "run_number", "period_start_time", "period_end_time")
 
 
@@ -120,10 +136,16 @@ def _lowest_live_runs(runs: DataFrame, instants: DataFrame, limit: int) -> DataF
     start, end = F.col("period_start_time"), F.col("period_end_time")
     kind = F.when(start < F.col("t"), "earlier").when(end == start, "point").otherwise("starting")
     lowest = Window.partitionBy("t", "kind").orderBy("run_number")
-    # At most ``limit`` instants: every run is tested against each of them where it is read.
     hit = (start <= F.col("t")) & ((end > F.col("t")) | ((start == F.col("t")) & (end == start)))
+    # A run is a few nodes of a tree over hours; it meets an instant at the one node that both have, or not at all. At most
+    # ``limit`` instants, each with a node per level, are broadcast.
+    hour = lambda time: F.floor(epoch_second(time) / 3600)
+    placed = runs.withColumn("_b", hour(start)).withColumn("_c", hour(end))
+    placed = placed.withColumn("_node", F.explode(covering_nodes(F.col("_b"), F.col("_c"), HOUR_LEVELS))).drop("_b", "_c")
+    above = instants.withColumn("_hour", hour(F.col("t"))).select("t", F.explode(nodes_above(F.col("_hour"), HOUR_LEVELS)).alias("_node"))
     return (
-        runs.join(F.broadcast(instants), hit)
+        placed.join(F.broadcast(above), "_node")
+        .filter(hit)
         .withColumn("kind", kind)
         .withColumn("run_number", as_id(F.col("run_id")))
         .withColumn("_rn", F.row_number().over(lowest))

@@ -181,3 +181,18 @@ def test_concurrency_reads_its_input_once(spark, tmp_path):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "NestedLoop" not in final
+
+
+def test_rows_that_end_before_they_start_are_counted(spark):
+    made = [run(1, "30 10:00", "30 09:00"), run(2, "30 10:00", "30 11:00"), run(3, "30 12:00"), run(4, "30 12:00", "30 12:00")]
+    row = intervals.jobs_misordered(tables(spark, runs=made), CLOCK).first()
+    assert (row.misordered_runs, row.runs) == (1, 4)
+    assert intervals.jobs_misordered(tables(spark), CLOCK).first().runs == 0
+
+
+def test_overlaps_join_on_nodes(spark):
+    """No nested loop over runs and instants, also for runs of months."""
+    made = [run(1, "30 01:00", "2024-05-01 00:00:00"), run(2, "30 02:00", "2026-01-30 03:00:00"), run(3, "30 02:30", "30 02:31")]
+    found = intervals.jobs_overlaps(tables(spark, runs=made), CLOCK)
+    assert [(r.run_id_1, r.run_id_2) for r in found.collect()] == [(1, 3), (2, 3), (1, 2)]
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
