@@ -33,7 +33,9 @@ SLACK, PLACED = 1e-6, 1_024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows of length one. Huge and tiny values are scaled before they are squared."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def fit_centres(vectors: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -59,8 +61,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
             keys, kept = [], []
             for x in batch.column("embedding").to_pylist():
                 v = np.array([np.nan if c is None else c for c in x or ()], np.float64) + 0.0
-                with np.errstate(over="ignore", invalid="ignore"):
-                    good = len(v) > 0 and bool(np.isfinite(v).all()) and 0 < float(np.linalg.norm(v)) < np.inf
+                good = len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any())
                 kept.append(v.tolist() if good else None)
                 keys.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays(

@@ -41,6 +41,12 @@ def test_odd_vectors(spark):
     assert run(spark, rows)[3] == (2, 1, False) and run(spark, rows)[5] == (0, 5, True)
 
 
+def test_huge_and_tiny_values(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [1.0, 1.0], 0), (5, [1e300, -1e300], 0), (6, [5e-324, 0.0], 0)]
+    got = E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(3, 1)] * 4 + [(0, 5), (0, 6)]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
