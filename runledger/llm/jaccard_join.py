@@ -13,6 +13,11 @@ Opening a group reads whole texts and compares whole sets, so the result is exac
 A query only meets groups with which it shares a token of its prefix, the tokens that are rarest over all texts. Texts
 that are found similar to the head of their group are joined first. After that only groups of other components matter, so
 thousands of near copies of one text are not compared with one another.
+
+Texts of many components that share a prefix token are a crowd: near copies of one text that are just too far from
+its head, say. They are held as differences to the core of the crowd, the tokens of most of its texts. Two texts are as
+far from each other as their differences are, so texts close to the core link at once, and the others only link with
+texts with which they share difference tokens, which are rare where the texts' own are not.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ LOW_SHARE = 1.5
 GROUP, QUERIES = 64, 256
 # Frequent tokens: how many are listed at most, how many a task reports, and from how many texts on.
 FREQUENT, REPORTED, OFTEN = 32_768, 16_384, 64
+# Texts with one prefix token, those of its largest component aside, from which on they are held as differences.
+CROWD = 32
 _FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 _SETS = "id long, doc_id long, n long, cold long, tokens array<long>"
 
@@ -179,6 +186,20 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / log(100 / percent)).cast("long")
 
 
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (group, part, is_query, id, text) of some megabytes, parts of groups whole."""
+    held: list[tuple] = []
+    total = 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "is_query", "id", "text")), strict=True):
+            if total > 2_000_000 and held[-1][:2] != row[:2]:
+                yield held
+                held, total = [], 0
+            held.append(row)
+            total += len(row[4])
+    yield held
+
+
 def _open(size: int, percent: int):
     """Compares queries with the members of their group, from rows sorted by group, part and members first."""
 
@@ -207,32 +228,129 @@ def _open(size: int, percent: int):
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        total = 0
-
-        def done(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        for rows in _whole_parts(batches):
+            links = compare(rows)
             a, b = zip(*links, strict=True) if links else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "member"])
+
+    return run
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "is_query", "id", "text")), strict=True):
-                if total > 2_000_000 and held[-1][:2] != row[:2]:
-                    yield done(compare(held))
-                    held, total = [], 0
-                held.append(row)
-                total += len(row[4])
-        yield done(compare(held))
+
+def _differ(size: int):
+    """Differences of queries to the only member of their group: tokens that they add, and ~ of tokens that they miss."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_parts(batches):
+            tokens, bounds = shingle_sets([r[4] for r in rows], size)
+            sets = [tokens[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            of, ids, n, found = [], [], [], []
+            for row, own in zip(rows, sets, strict=True):
+                if not row[2]:
+                    head = own
+                    continue
+                of.append(row[0])
+                ids.append(row[3])
+                n.append(len(own))
+                found.append(np.concatenate([np.setdiff1d(own, head, True), ~np.setdiff1d(head, own, True)]))
+            if not found:
+                continue
+            ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
+            columns = [*(pa.array(c, pa.int64()) for c in (of, ids, n)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["head", "id", "n", "diff"])
 
     return run
 
 
-def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """For each query (group, id) a member (group, id) of its group that it links with, if there is one."""
+def _met(members: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of members and queries (group, id) by group, in parts of some queries that each hold all members."""
     n_queries = queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     copies = members.join(n_queries, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "id")
     parted = queries.join(n_queries, "group").select("group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_query"), "id")
     rows = copies.unionByName(parted).join(texts, "id").select("group", "part", "is_query", "id", "text")
-    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "is_query").mapInArrow(_open(size, percent), "id long, member long")
+    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "is_query")
+
+
+def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """For each query (group, id) a member (group, id) of its group that it links with, if there is one."""
+    return _met(members, queries, texts).mapInArrow(_open(size, percent), "id long, member long")
+
+
+def _differences(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """A row per text of a crowd (head, id, component): its differences to the crowd's core and their ``excess``.
+
+    Differences to the head are counted, and those of most texts are the core's own: a text that has one drops it, a text
+    that lacks it differs there. With c = (100 - percent) / (100 + percent), two sets link when their symmetric
+    difference is at most c times the sum of their sizes. Be a set's excess its differences less c times its size: two
+    sets link when their excesses add up to at most twice the differences that they share. ``excess`` is in units of
+    1 / (100 + percent).
+    """
+    heads = crowds.select(F.col("head").alias("group"), F.col("head").alias("id")).distinct()
+    queries = crowds.select(F.col("head").alias("group"), "id")
+    found = stored(_met(heads, queries, texts).mapInArrow(_differ(size), "head long, id long, n long, diff array<long>"), "differences")
+    counted = found.select("head", F.explode("diff").alias("token")).groupBy("head", "token").agg(F.count("*").alias("texts"))
+    most = counted.join(found.groupBy("head").agg(F.count("*").alias("members")), "head").filter("2 * texts > members")
+    # Their number is at most twice the mean number of differences.
+    core = most.groupBy("head").agg(F.collect_list("token").alias("core"))
+    held = F.coalesce("core", F.array().cast("array<long>"))
+    lacking = F.transform(F.array_except(held, "diff"), lambda t: F.bitwise_not(t))
+    rows = found.join(core, "head", "left").select("head", "id", "n", F.concat(F.array_except("diff", held), lacking).alias("diff"))
+    excess = F.size("diff") * (100 + percent) - F.col("n") * (100 - percent)
+    return stored(rows.withColumn("excess", excess).join(crowds, ["head", "id"]), "relative")
+
+
+def _crowd_links(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, member): links that join the texts of a crowd as far as any links within it do.
+
+    The text of least excess links with all whose excess and its own add up to 0 at most, the inner ones. An outer text
+    shares differences with every text that it links with. Of the differences, those of fewest texts first, one that both
+    share is among the first of each, as in any prefix filter for an overlap that is known.
+    """
+    unit = 2 * (100 + percent)
+    held = _differences(crowds, texts, size, percent)
+    best = held.groupBy("head").agg(F.min(F.struct("excess", "id", "component")).alias("best"))
+    state = held.join(best, "head").withColumn("outer", F.col("excess") + F.col("best.excess") > 0)
+    sure = state.filter("not outer and component != best.component").select("id", F.col("best.id").alias("member"))
+
+    # No text has to be looked for where none is outer.
+    state = state.join(state.filter("outer").groupBy("head").agg(F.min("excess").alias("outer_least")), "head")
+    d, n = F.size("diff").cast("long"), F.col("n")
+    far_off = d - F.floor(n * (100 - percent) / percent)
+
+    def last(partner: Column) -> Column:
+        """The last place of a shared difference in the order, given the least excess of a partner."""
+        return d - F.greatest(F.ceil((F.col("excess") + partner) / unit), far_off, F.lit(1).cast("long"))
+
+    to_outer = last(F.col("outer_least"))
+    state = state.select(
+        "head", "id", "n", "excess", "outer", "diff", d.alias("d"), to_outer.alias("to_outer"),
+        F.when(F.col("outer"), F.greatest(to_outer, last(F.col("best.excess")))).otherwise(to_outer).alias("to_any"),
+        F.when(F.col("outer"), F.col("component")).otherwise(F.col("best.component")).alias("component"),
+    )
+    listed = state.select("head", "id", F.explode("diff").alias("token"))
+    counted = listed.groupBy("head", "token").agg(F.count("*").alias("texts")).filter("texts > 1")
+    # A list holds differences of one text.
+    ranked = listed.join(counted, ["head", "token"]).groupBy("head", "id").agg(F.sort_array(F.collect_list(F.struct("texts", "token"))).alias("shared"))
+    entries = ranked.join(state.drop("diff"), ["head", "id"]).withColumn("alone", F.col("d") - F.size("shared"))
+    wanted = F.slice("shared.token", F.lit(1), F.greatest(F.col("to_any") - F.col("alone") + 1, F.lit(0)).cast("int"))
+    entries = entries.select("head", "id", "n", "excess", "outer", "d", "to_outer", "component", "alone", F.posexplode(wanted).alias("at", "token"))
+    entries = stored(entries.withColumn("at", F.col("at") + F.col("alone")).drop("alone"), "entries")
+    a, b = entries.filter("outer").alias("a"), entries.alias("b")
+    share = F.greatest(F.ceil((F.col("a.excess") + F.col("b.excess")) / unit), F.lit(1))
+    possible = (
+        (F.col("a.component") != F.col("b.component"))
+        & (F.col("a.at") <= F.col("a.d") - share) & (F.col("b.at") <= F.col("b.d") - share)
+        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+    )
+    pair = ("head", F.col("a.id").alias("id"), F.col("b.id").alias("member"))
+    near = a.filter("at <= to_outer").join(b.filter("outer and at <= to_outer"), ["head", "token"]).filter(possible & (F.col("a.id") < F.col("b.id"))).select(*pair)
+    mixed = a.join(b.filter("not outer"), ["head", "token"]).filter(possible).select(*pair)
+    pairs = stored(near.unionByName(mixed).groupBy("id", "member").agg(F.min("head").alias("head")), "pairs")
+
+    of_id = held.select("head", "id", "diff", "excess")
+    of_member = held.select("head", F.col("id").alias("member"), F.col("diff").alias("other_diff"), F.col("excess").alias("other_excess"))
+    both = pairs.join(of_id, ["head", "id"]).join(of_member, ["head", "member"])
+    shared = F.size(F.array_intersect("diff", "other_diff"))
+    return sure.unionByName(both.filter(shared * unit >= F.col("excess") + F.col("other_excess")).select("id", "member"))
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,10 +392,17 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     own = own.withColumn("several", F.min("component").over(same) < F.max("component").over(same)).filter("several").drop("several")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("weight") / GROUP))
     own = stored(own.withColumn("group", F.xxhash64("component", chunk)).withColumn("band", _band(F.col("n"), percent)), "open")
-    asked = own.groupBy("token", "band", "group", F.col("component").alias("other"), F.col("weight").alias("other_weight")).agg(
+    lists = own.groupBy("token", "component").agg(F.count("*").alias("texts"), F.min("id").alias("head"))
+    lists = lists.groupBy("token").agg((F.sum("texts") - F.max("texts")).alias("others"), F.min("head").alias("head"))
+    crowded = stored(lists.filter(F.col("others") > CROWD).select("token", "head"), "crowded")
+    crowds = stored(own.join(crowded, "token").select("head", "id", "component").distinct(), "crowds")
+    joined = stored(_crowd_links(crowds, texts, size, percent), "joined")
+
+    few = own.join(crowded, "token", "left_anti")
+    asked = few.groupBy("token", "band", "group", F.col("component").alias("other"), F.col("weight").alias("other_weight")).agg(
         F.max("early").alias("other_early")
     )
-    asking = own.withColumn("step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("band", F.col("band") + F.col("step"))
+    asking = few.withColumn("step", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("band", F.col("band") + F.col("step"))
     # The token must be early in the smaller set; within a band either may be the smaller.
     first_shared = F.when(F.col("step") > 0, F.col("early")).when(F.col("step") < 0, F.col("other_early")).otherwise(F.col("early") | F.col("other_early"))
     smaller = F.struct("weight", "component") < F.struct(F.col("other_weight").alias("weight"), F.col("other").alias("component"))
@@ -303,7 +428,7 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     opened = group_of.join(open_.select("group").distinct(), "group", "left_semi").select("group", "id")
     far = _links(opened, open_, texts, size, percent)
 
-    linked = connected_components(close.unionByName(far))
+    linked = connected_components(close.unionByName(joined).unionByName(far))
     of_text = sets.select("id", "first_doc", F.col("n").alias("n_shingles")).join(linked, F.col("id") == F.col("node"), "left")
     of_text = of_text.withColumn("component", F.coalesce("component", "id"))
     smallest = of_text.groupBy("component").agg(F.min("first_doc").alias("component_id"))

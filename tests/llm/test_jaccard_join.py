@@ -58,6 +58,49 @@ def test_many_near_copies_of_one_text(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+@pytest.mark.parametrize("copied", [False, True])
+def test_crowds_about_the_threshold(spark, edits, copied):
+    # Few words to edit with, so that texts share edits; sizes differ; with the common text itself and without it.
+    rnd = random.Random(edits)
+    base = [f"v{i}" for i in range(60 * edits)]
+    rows = [(999, " ".join(base))] if copied else []
+    for i in range(300):
+        text = list(base)
+        for _ in range(rnd.randint(edits, edits + 1)):
+            text[rnd.randrange(len(text) // 3)] = rnd.choice("xyz")
+        rows.append((i, " ".join(text[: len(text) - rnd.randint(0, 3)])))
+    check(spark, rows)
+    check(spark, rows, percent=80)
+
+
+def test_near_misses_do_not_meet_in_pairs(spark, monkeypatch):
+    made = {}
+
+    def stored(df, label):
+        kept = keep(df, label)
+        if label in ("met", "pairs"):
+            made[label] = made.get(label, 0) + kept.count()
+        return kept
+
+    keep = J.stored
+    monkeypatch.setattr(J, "stored", stored)
+    base = [f"v{i}" for i in range(120)]
+    for copies in (500, 1_000):
+        made.clear()
+        rnd = random.Random(copies)
+        rows = []
+        for i in range(copies):
+            text = list(base)
+            for at in rnd.sample(range(120), 2):
+                text[at] = f"x{i}-{at}"
+            rows.append((i, " ".join(text)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in J.similar_groups(df).collect()}
+        assert len(set(got.values())) > copies // 2
+        assert sum(made.values()) <= 16 * copies, made
+
+
 def test_shingle_sets():
     tokens, bounds = J.shingle_sets(["A b", "a B", "a", "", "a b c d a b c", "é É"])
     sets = [set(tokens[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
