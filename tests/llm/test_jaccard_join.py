@@ -58,8 +58,7 @@ def test_many_near_copies_of_one_text(spark):
     check(spark, rows)
 
 
-@pytest.mark.parametrize("edits", [1, 2, 3])
-@pytest.mark.parametrize("copied", [False, True])
+@pytest.mark.parametrize("edits, copied", [(1, False), (2, True)])
 def test_crowds_about_the_threshold(spark, edits, copied):
     # Few words to edit with, so that texts share edits; sizes differ; with the common text itself and without it.
     rnd = random.Random(edits)
