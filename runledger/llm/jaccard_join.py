@@ -45,7 +45,7 @@ FREQUENT, REPORTED, OFTEN = 32_768, 16_384, 64
 # Texts with one prefix token, those of its largest component aside, from which on they are held as differences.
 CROWD = 32
 _FACTORS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
-_SETS = "id long, doc_id long, n long, cold long, tokens array<long>"
+_SETS = "id long, check long, doc_id long, n long, cold long, tokens array<long>"
 
 
 def low_limit(percent: int) -> int:
@@ -92,6 +92,15 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _hash() -> Column:
+    return F.xxhash64(_text())
+
+
+def _check() -> Column:
+    """A second hash of the text: texts are equal where both hashes are."""
+    return F.xxhash64(F.lit(1), _text())
+
+
 def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     """The most frequent tokens in ascending order, at most FREQUENT.
 
@@ -119,7 +128,7 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per different text (``id`` is its hash): smallest doc_id, set size, tokens for the matrix.
+    """A row per different text (``hash`` and ``check``): ``id``, smallest doc_id, set size, tokens for the matrix.
 
     First ``cold`` tokens that are not frequent, in ascending order: all low ones, or more where the prefix needs them. After
     them come frequent tokens, where a text has too few others.
@@ -144,12 +153,23 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             place = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
             keep = (place < held_cold[doc]) | ((place >= cold[doc]) & (place < (cold + held_hot)[doc]))
             ends = np.append(0, np.cumsum(held_cold + held_hot)).astype(np.int32)
-            columns = [part.column("id"), part.column("doc_id"), pa.array(n), pa.array(held_cold), pa.ListArray.from_arrays(ends, pa.array(tokens[keep]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "n", "cold", "tokens"])
+            columns = [part.column("id"), part.column("check"), part.column("doc_id"), pa.array(n), pa.array(held_cold), pa.ListArray.from_arrays(ends, pa.array(tokens[keep]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "check", "doc_id", "n", "cold", "tokens"])
 
-    rows = docs.select(F.xxhash64(_text()).alias("id"), F.col("doc_id").cast("long"), _text().alias("text"))
+    rows = docs.select(_hash().alias("id"), _check().alias("check"), F.col("doc_id").cast("long"), _text().alias("text"))
     first = [F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("n", "cold", "tokens"))]
-    return rows.mapInArrow(run, _SETS).groupBy("id").agg(*first)
+    found = rows.mapInArrow(run, _SETS).groupBy(F.col("id").alias("hash"), "check").agg(*first)
+    return _told_apart(stored(found.withColumn("id", F.col("hash")), "sets"))
+
+
+def _told_apart(sets: DataFrame) -> DataFrame:
+    """``sets`` with another ``id`` for texts that share their hash with a different one, which next to none do."""
+    clashes = sets.groupBy("hash").agg(F.count("*").alias("texts"), F.min("check").alias("least")).filter("texts > 1")
+    clashes = stored(clashes.select("hash", "least"), "clashes")
+    if clashes.isEmpty():
+        return sets
+    own = F.when(F.col("check") != F.col("least"), F.xxhash64("hash", "check")).otherwise(F.col("hash"))
+    return stored(sets.join(clashes, "hash", "left").withColumn("id", F.coalesce(own, "hash")).drop("least"), "sets")
 
 
 def _low(percent: int) -> Column:
@@ -187,7 +207,7 @@ def _band(n: Column, percent: int) -> Column:
 
 
 def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (group, part, is_query, id, text) of some megabytes, parts of groups whole."""
+    """Rows (group, part, is_query, id, text) of some megabytes, parts of groups whole, without repeated ones."""
     held: list[tuple] = []
     total = 0
     for batch in batches:
@@ -195,6 +215,8 @@ def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             if total > 2_000_000 and held[-1][:2] != row[:2]:
                 yield held
                 held, total = [], 0
+            if held and held[-1][:4] == row[:4]:
+                continue
             held.append(row)
             total += len(row[4])
     yield held
@@ -261,21 +283,25 @@ def _differ(size: int):
     return run
 
 
-def _met(members: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts of members and queries (group, id) by group, in parts of some queries that each hold all members."""
+def _met(members: DataFrame, queries: DataFrame, texts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Texts of members and queries (group, id) by group, in parts of some queries that each hold all members.
+
+    ``texts`` are the keys (id, key) of texts and rows (key, text); documents that repeat a key repeat rows.
+    """
+    keys, rows = texts
     n_queries = queries.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     copies = members.join(n_queries, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "id")
     parted = queries.join(n_queries, "group").select("group", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_query"), "id")
-    rows = copies.unionByName(parted).join(texts, "id").select("group", "part", "is_query", "id", "text")
-    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "is_query")
+    met = copies.unionByName(parted).join(keys, "id").join(rows, "key").select("group", "part", "is_query", "id", "text")
+    return met.repartition("group", "part").sortWithinPartitions("group", "part", "is_query", "id")
 
 
-def _links(members: DataFrame, queries: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(members: DataFrame, queries: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, percent: int) -> DataFrame:
     """For each query (group, id) a member (group, id) of its group that it links with, if there is one."""
     return _met(members, queries, texts).mapInArrow(_open(size, percent), "id long, member long")
 
 
-def _differences(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _differences(crowds: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, percent: int) -> DataFrame:
     """A row per text of a crowd (head, id, component): its differences to the crowd's core and their ``excess``.
 
     Differences to the head are counted, and those of most texts are the core's own: a text that has one drops it, a text
@@ -298,7 +324,7 @@ def _differences(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -
     return stored(rows.withColumn("excess", excess).join(crowds, ["head", "id"]), "relative")
 
 
-def _crowd_links(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _crowd_links(crowds: DataFrame, texts: tuple[DataFrame, DataFrame], size: int, percent: int) -> DataFrame:
     """(id, member): links that join the texts of a crowd as far as any links within it do.
 
     The text of least excess links with all whose excess and its own add up to 0 at most, the inner ones. An outer text
@@ -353,11 +379,11 @@ def _crowd_links(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -
     return sure.unionByName(both.filter(shared * unit >= F.col("excess") + F.col("other_excess")).select("id", "member"))
 
 
-def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and text of the wanted texts, each read from the document that stands for it."""
-    rows = docs.select(F.struct(F.xxhash64(_text()).alias("id"), F.col("doc_id").cast("long").alias("doc")).alias("key"), _text().alias("text"))
-    keys = sets.join(wanted, "id", "left_semi").select(F.struct("id", F.col("first_doc").alias("doc")).alias("key"))
-    return stored(rows.join(keys, "key").select("key.id", "text").dropDuplicates(["id"]), "texts")
+def _texts(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of every text, the key of the document that stands for it, and (key, text) of every document."""
+    key = F.struct(_hash().alias("hash"), _check().alias("check"), F.col("doc_id").cast("long").alias("doc"))
+    keys = sets.select("id", F.struct("hash", "check", F.col("first_doc").alias("doc")).alias("key"))
+    return keys, docs.select(key.alias("key"), _text().alias("text"))
 
 
 def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -368,9 +394,9 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     words have an empty set and link with nothing. NULL text is an empty one. A NULL doc_id is never a component_id
     while its component has another one. Other columns are ignored; an empty table gives an empty result.
     """
-    sets = stored(_sets(docs, size, percent), "sets")
+    sets = _sets(docs, size, percent)
     prefixes = stored(_prefixes(sets.filter("n > 0"), percent), "prefixes")
-    texts = _texts(docs, sets, prefixes.select("id").distinct())
+    keys, rows = _texts(docs, sets)
 
     # Groups: each text goes to the one with which it shares most prefix tokens, of those that come first for a token.
     banded = prefixes.withColumn("band", _band(F.col("n"), percent))
@@ -379,7 +405,7 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     best = near.groupBy("id", "group").count().groupBy("id").agg(F.max_by("group", F.struct("count", "group")).alias("group"))
     best = stored(best, "groups")
     members = best.select("group", F.col("group").alias("id")).distinct()
-    close = stored(_links(members, best, texts, size, percent), "links")
+    close = stored(_links(members, best, (keys, rows), size, percent), "links")
 
     # What is still open lies between components: a text of the smaller one asks the other's groups.
     known = connected_components(close)
@@ -392,6 +418,8 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     own = own.withColumn("several", F.min("component").over(same) < F.max("component").over(same)).filter("several").drop("several")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("weight") / GROUP))
     own = stored(own.withColumn("group", F.xxhash64("component", chunk)).withColumn("band", _band(F.col("n"), percent)), "open")
+    wanted = keys.join(own.select("id").distinct(), "id", "left_semi")
+    texts = keys, stored(rows.join(wanted.select("key"), "key", "left_semi"), "texts")
     lists = own.groupBy("token", "component").agg(F.count("*").alias("texts"), F.min("id").alias("head"))
     lists = lists.groupBy("token").agg((F.sum("texts") - F.max("texts")).alias("others"), F.min("head").alias("head"))
     crowded = stored(lists.filter(F.col("others") > CROWD).select("token", "head"), "crowded")
@@ -429,11 +457,11 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     far = _links(opened, open_, texts, size, percent)
 
     linked = connected_components(close.unionByName(joined).unionByName(far))
-    of_text = sets.select("id", "first_doc", F.col("n").alias("n_shingles")).join(linked, F.col("id") == F.col("node"), "left")
+    of_text = sets.select("id", "hash", "check", "first_doc", F.col("n").alias("n_shingles")).join(linked, F.col("id") == F.col("node"), "left")
     of_text = of_text.withColumn("component", F.coalesce("component", "id"))
     smallest = of_text.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = of_text.join(smallest, "component").select("id", "n_shingles", "component_id")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(_text()).alias("id")).join(named, "id")
+    named = of_text.join(smallest, "component").select("hash", "check", "n_shingles", "component_id")
+    rows = docs.select(F.col("doc_id").cast("long"), _hash().alias("hash"), _check().alias("check")).join(named, ["hash", "check"])
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", alone.alias("component_id"))
 

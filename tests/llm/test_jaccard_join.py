@@ -100,6 +100,19 @@ def test_near_misses_do_not_meet_in_pairs(spark, monkeypatch):
         assert sum(made.values()) <= 16 * copies, made
 
 
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    hashed = J._hash
+    monkeypatch.setattr(J, "_hash", lambda: F.pmod(hashed(), F.lit(7)))
+    base = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 59 - i % 3], f"x{i}"])) for i in range(40)] + [(100 + i, f"other text {i % 9}") for i in range(30)]
+    # Copies that repeat a doc_id too.
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similar_groups(df).collect()}
+    assert got == brute.similar(rows)
+
+
 def test_shingle_sets():
     tokens, bounds = J.shingle_sets(["A b", "a B", "a", "", "a b c d a b c", "é É"])
     sets = [set(tokens[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
