@@ -58,12 +58,18 @@ def _spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", kind[s.kind], s.start.cast("string"), s.end.cast("string"))))
 
 
+def _n_of_kind(spans: Column, name: str) -> Column:
+    """A second parameter of the lambda, even one with a default, would be the place in the array."""
+    kind = secret_scan.KINDS.index(name)
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{name}")
+
+
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)]
+    *of_base, added = (_n_of_kind(spans, name) for name in secret_scan.KINDS)
     base = F.filter(spans, lambda s: s.kind < 3)
     return secret_scan.secrets(table(spark, sf_dir, "documents")).select(
-        "doc_id", *counts, F.sha2(_spans_text(base), 256).alias("base_sha256"), _spans_text(spans).alias("spans")
+        "doc_id", *of_base, F.sha2(_spans_text(base), 256).alias("base_sha256"), _spans_text(spans).alias("spans"), added
     )
 
 

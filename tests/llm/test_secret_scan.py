@@ -159,3 +159,24 @@ def test_query(spark):
         said = ",".join(f"{S.KINDS[k]}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_query_counts_each_kind_wherever_it_stands(spark, tmp_path):
+    from runledger.llm.registry import queries
+
+    hexes, access, assign = "0f" * 12, "AKIA" + "B7" * 8, "token = abcdef"
+    rnd = random.Random(7)
+    texts = [None, "", hexes, access, f"{hexes} {assign}", f"{access} {hexes} {hexes} {assign}", f'é token: "{hexes}"', f"{assign} " * 3 + hexes]
+    texts += [" ".join(rnd.choices([hexes, access, assign, "secret=short", "abc=1"], k=rnd.randint(0, 9))) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["op1_secret_scan"](spark, str(tmp_path))
+    rows = found.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_base(texts[r.doc_id] or "")
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for k, _, _ in base) for i in range(3)], texts[r.doc_id]
+        said = ",".join(f"{S.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        kinds = [x.split(":")[0] for x in r.spans.split(",")]
+        assert [r.n_assign, r.n_access, r.n_hex, r.n_random] == [kinds.count(k) for k in S.KINDS]
+    assert found.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
