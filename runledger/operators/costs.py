@@ -205,7 +205,7 @@ def sku_labels(t: Tables, clock: Clock, days: int = 90) -> DataFrame:
     )
 
 
-# Reports over usage joined with the tag log. Their rows are attributed usage, or its totals per run (``Totals.per_run``).
+# Reports over usage joined with the tag log. Their rows are attributed usage; the ``named`` functions take its totals per group.
 
 
 def _per_run(rows: DataFrame) -> DataFrame:
@@ -225,10 +225,12 @@ def _totals():
 
 def roll_up_projects(rows: DataFrame) -> DataFrame:
     """Cost and runs per project and department."""
+    return named_projects(_per_run(rows).groupBy("project_code", "department").agg(*_totals()))
+
+
+def named_projects(totals: DataFrame) -> DataFrame:
     return (
-        _per_run(rows).groupBy("project_code", "department")
-        .agg(*_totals())
-        .select(
+        totals.select(
             F.coalesce("project_code", F.lit(V.UNTAGGED_PROJECT)).alias("project_code"),
             F.coalesce("department", F.lit(V.UNKNOWN_DEPARTMENT)).alias("department"),
             usd(F.col("c")).alias("total_cost"),
@@ -244,16 +246,20 @@ def roll_up_departments(rows: DataFrame) -> DataFrame:
     """Cost and runs per department with the number of its projects."""
     # First per project and run, so that only one distinct count is left for each step.
     per_project = _per_run(rows).groupBy("department", "project_code", "job_run_id").agg(F.sum("c").alias("c"), F.sum("q").alias("q"), F.count("*").alias("n"))
-    return (
-        per_project.groupBy("department")
-        .agg(
+    return named_departments(
+        per_project.groupBy("department").agg(
             F.sum("c").alias("c"),
             F.sum("q").alias("q"),
             F.coalesce(F.sum(F.when(F.col("job_run_id").isNotNull(), F.col("n"))), F.lit(0)).alias("job_runs"),
             F.countDistinct("job_run_id").alias("job_runs_distinct"),
             F.countDistinct("project_code").alias("project_count"),
         )
-        .select(
+    )
+
+
+def named_departments(totals: DataFrame) -> DataFrame:
+    return (
+        totals.select(
             F.coalesce("department", F.lit(V.UNKNOWN_DEPARTMENT)).alias("department"),
             usd(F.col("c")).alias("total_cost"),
             usd(F.col("q")).alias("total_dbus"),

@@ -15,8 +15,8 @@ from runledger.clock import Clock, check_range
 from runledger.functions import pct, usd
 from runledger.operators import costs
 from runledger.operators.attribution import TAG_COLUMNS, WINDOW_DAYS, attribute_usage, attributed_days, attribution_totals, note_days, unmatched_rows
-from runledger.operators.factorised import attributed_totals, totals_of
-from runledger.plans.views import weekly_trends
+from runledger.operators.factorised import DIMENSIONS, FactorisedTotals, attributed_totals, totals_of
+from runledger.plans.views import weekly_trends, weekly_trends_of
 from runledger.sources.tables import Tables
 
 
@@ -39,26 +39,35 @@ def _attributed(t: Tables, clock: Clock, days: int, attributed: DataFrame | None
     return attributed.filter(clock.on_dates(F.col("usage_date"), days))
 
 
-def _run_totals(t: Tables, clock: Clock, days: int, attributed: DataFrame | None) -> DataFrame:
-    """Usage and cost of each run per date and tag dimensions; from shared rows where they are given, else without any pairs."""
-    return attributed_totals(t, clock, days).per_run() if attributed is None else _attributed(t, clock, days, attributed)
+def _with_daily_runs(totals: FactorisedTotals, keys: list[str]) -> DataFrame:
+    """Totals per ``keys`` with ``job_runs_distinct``, and ``job_runs``, which adds up the runs of each date and all tag dimensions."""
+    whole = totals.grouped(keys).withColumnRenamed("runs", "job_runs_distinct")
+    daily = totals.grouped(DIMENSIONS, lambda day: day).groupBy("department", "project_code").agg(F.sum("runs").alias("job_runs"))
+    rows = whole.unionByName(daily, allowMissingColumns=True)
+    sums = [F.sum(name).alias(name) for name in ("c", "q", "job_runs", "job_runs_distinct")]
+    return rows.groupBy(*keys).agg(*sums, F.countDistinct("project_code").alias("project_count"))
 
 
 def costs_by_project(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     check_range("days", days, 1, 90)
-    return costs.roll_up_projects(_run_totals(t, clock, days, attributed))
+    if attributed is not None:
+        return costs.roll_up_projects(_attributed(t, clock, days, attributed))
+    return costs.named_projects(_with_daily_runs(attributed_totals(t, clock, days), ["project_code", "department"]))
 
 
 def costs_by_department(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     check_range("days", days, 1, 90)
-    return costs.roll_up_departments(_run_totals(t, clock, days, attributed))
+    if attributed is not None:
+        return costs.roll_up_departments(_attributed(t, clock, days, attributed))
+    return costs.named_departments(_with_daily_runs(attributed_totals(t, clock, days), ["department"]))
 
 
 def costs_trends(t: Tables, clock: Clock, weeks: int = 8, attributed: DataFrame | None = None) -> DataFrame:
     check_range("weeks", weeks, 1, 52)
     # A week is shown when its Monday is in range, so no earlier usage date is needed.
-    rows = _run_totals(t, clock, weeks * 7, attributed)
-    return costs.roll_up_weeks(weekly_trends(rows), clock, weeks)
+    days = weeks * 7
+    trends = weekly_trends_of(attributed_totals(t, clock, days)) if attributed is None else weekly_trends(_attributed(t, clock, days, attributed))
+    return costs.roll_up_weeks(trends, clock, weeks)
 
 
 def _status_totals(t: Tables, clock: Clock, days: int, attributed: DataFrame | None) -> DataFrame:
@@ -108,10 +117,10 @@ def correlation_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed:
     """Match counts per calling pipeline; usage without a tag record is one group."""
     check_range("days", days, 1, 90)
     if attributed is None:
-        totals = attributed_totals(t, clock, days)
+        per_dimension = attributed_totals(t, clock, days).grouped(["adf_pipeline_name"], runs=False)
     else:
         totals = totals_of(_attributed(t, clock, days, attributed), F.col("correlation_status") == V.MATCHED)
-    per_dimension = totals.named(totals.parts.groupBy("_dim").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+        per_dimension = totals.named(totals.parts.groupBy("_dim").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
     return (
         per_dimension.groupBy("adf_pipeline_name")
         .agg((F.sum("yes") + F.sum("no")).alias("total_records"), F.sum("yes").alias("matched"))
@@ -128,11 +137,13 @@ def correlation_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed:
 def costs_by_pipeline(t: Tables, clock: Clock, days: int = 30, attributed: DataFrame | None = None) -> DataFrame:
     """Cost and distinct runs per calling pipeline."""
     check_range("days", days, 1, 90)
+    if attributed is None:
+        totals = attributed_totals(t, clock, days).grouped(["adf_pipeline_name"]).withColumnRenamed("runs", "job_runs")
+    else:
+        rows = _attributed(t, clock, days, attributed).groupBy("adf_pipeline_name")
+        totals = rows.agg(F.sum("estimated_cost_usd").alias("c"), F.sum("dbus").alias("q"), F.countDistinct("job_run_id").alias("job_runs"))
     return (
-        _run_totals(t, clock, days, attributed)
-        .groupBy("adf_pipeline_name")
-        .agg(F.sum("estimated_cost_usd").alias("c"), F.sum("dbus").alias("q"), F.countDistinct("job_run_id").alias("job_runs"))
-        .select(
+        totals.select(
             F.coalesce("adf_pipeline_name", F.lit(V.DIRECT_EXECUTION)).alias("pipeline_name"),
             usd(F.col("c")).alias("total_cost"),
             usd(F.col("q")).alias("total_dbus"),
